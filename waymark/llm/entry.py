@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import curriculum, packing, png_media, token_counts, token_store
+from waymark.llm import compress_lang, curriculum, packing, png_media, token_counts, token_store, toxic_crf
+from waymark.llm.folds import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -28,6 +30,20 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.plan_mix(table(spark, sf_dir, "documents")).drop("reads", "position")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compress_lang.fit_languages(docs, ~held_out())
+    rows = compress_lang.classify(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": held_out()}), model, keep=["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic_crf.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out())
+    rows = toxic_crf.score_toxicity(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": held_out()}), model, keep=["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False).drop("ids")
 
@@ -38,7 +54,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op8_pack, op9_media)
+    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op8_pack, op9_media)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": r"""
