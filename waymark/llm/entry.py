@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import compress_lang, curriculum, packing, png_media, token_counts, token_store, toxic_crf
+from waymark.llm import circulant, compress_lang, curriculum, packing, png_media, token_counts, token_store, toxic_crf
 from waymark.llm.folds import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -53,8 +53,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png_media.media_features(media).drop("hash")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=(85, 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op8_pack, op9_media)
+    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op8_pack, op9_media, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": r"""
