@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import circulant, compress_lang, curriculum, packing, png_media, token_counts, token_store, toxic_crf
+from waymark.llm import circulant, compress_lang, curriculum, nn_graph, packing, png_media, token_counts, token_store, toxic_crf
 from waymark.llm.folds import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False).drop("ids")
 
@@ -58,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op8_pack, op9_media, op10_near_duplicates)
+    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": r"""
