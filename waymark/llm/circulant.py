@@ -186,13 +186,32 @@ class Joiner:
         return True
 
     def trees(self) -> Iterator[tuple]:
-        """Edges that join every component, ``FAN_OUT`` children at most below each member."""
+        """Edges that join every component of integers; see ``tree``."""
         members: dict = {}
         for x in self.up:
             members.setdefault(self.find(x), []).append(x)
         for group in members.values():
-            for j in range(1, len(group)):
-                yield group[(j - 1) // FAN_OUT], group[j]
+            yield from tree(np.array(group, np.int64))
+
+
+def tree(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a shallow tree over distinct integers, about ``FAN_OUT`` at a member.
+
+    Who joins whom depends on the members' hashes alone: each goes to a hub that its own hash picks from those
+    with small hashes. So tasks that see much the same component give much the same edges, and few are left once
+    equal ones are merged. The hubs are joined in the same way.
+    """
+    while len(group) > 1:
+        hubs = 1 << max(0, (len(group) - 1) // FAN_OUT).bit_length()
+        with np.errstate(over="ignore"):
+            rank = mix(group.view(np.uint64))
+            pool = group[np.argsort(rank, kind="stable")[: 4 * hubs]]
+            salts = _stream(41, hubs)
+            best = np.array([pool[np.argmin(mix(pool.view(np.uint64) ^ salt))] for salt in salts], np.int64)
+        mine = best[(rank % np.uint64(hubs)).astype(np.int64)]
+        yield from zip(mine[mine != group].tolist(), group[mine != group].tolist(), strict=True)
+        # A hub is also a member that went to a hub; only the hubs go on.
+        group = np.unique(best) if hubs > 1 else group[:0]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
