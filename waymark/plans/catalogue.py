@@ -1,4 +1,459 @@
-"""Every registered query of the library with its SQL."""
+"""Every registered query of the library with its SQL. ``(spark, root) -> DataFrame``; root holds the Parquet tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.functions import dates, display, fuzzy, text, weather
+from waymark.operators import changes, mapview, resolve, search
+from waymark.plans import oracle as o
+from waymark.sources import pages, tables
+from waymark.streaming import latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def catalogue(spark: SparkSession, root: str, status=tables.status) -> search.Tables:
+    return search.Tables(tables.sites(spark, root), status(spark, root), tables.weather(spark, root), tables.amenities(spark, root))
+
+
+# Lookups and the map
+
+
+@query(f"with {o.SITES} select id, name, latitude, longitude from sites where id = 42")
+def point_lookup(spark, root):
+    return search.by_id(tables.sites(spark, root), 42)
+
+
+@query(f"with {o.SITES} select distinct forest_name from sites where forest_name is not null order by 1")
+def distinct_forests(spark, root):
+    return search.forests(tables.sites(spark, root))
+
+
+@query(f"with {o.SITES} select id, name, forest_name, latitude, longitude from sites where latitude is not null and longitude is not null")
+def map_points(spark, root):
+    return mapview.map_points(tables.sites(spark, root))
+
+
+@query(f"with {o.SITES} select min(latitude) as min_lat, min(longitude) as min_lon, max(latitude) as max_lat, max(longitude) as max_lon from sites")
+def map_bounds(spark, root):
+    return mapview.bounds(mapview.map_points(tables.sites(spark, root)))
+
+
+_COLOURS = "[" + ", ".join(f"'{c}'" for c in display.PALETTE) + "]"
+
+
+@query(
+    f"with {o.SITES}, r as (select coalesce(nullif(forest_name, ''), 'Other') as region, min(id) as f from sites group by 1), "
+    f"s as (select region, ((dense_rank() over (order by f) - 1) % 6)::int as slot from r) select region, slot, {_COLOURS}[slot + 1] as colour from s"
+)
+def map_palette(spark, root):
+    return mapview.palette(mapview.map_points(tables.sites(spark, root)))
+
+
+@query(f"with {o.SITES} select id, name, name as forest_name, latitude, longitude from sites")
+def column_fallback(spark, root):
+    old = tables.sites(spark, root).drop("forest_name").withColumn("managing_unit", F.col("name"))
+    return mapview.map_points(old)
+
+
+# Search
+
+
+@query(
+    f"with {o.filtered("s.is_open and a.water and lower(c.forest_name) like '%o%'")} "
+    "select id, name, forest_name, latitude, longitude, null::double as score, is_open, forecast, has_water, has_restrooms from rows_ order by coalesce(forest_name, ''), name, id limit 200"
+)
+def search_filter_only(spark, root):
+    return search.search(catalogue(spark, root), is_open=True, has_water=True, forest=" O")
+
+
+@query(f"with {o.filtered('a.restrooms', 'reports')} select * from rows_")
+def search_fanout(spark, root):
+    return search.filtered(catalogue(spark, root, tables.status_reports), has_restrooms=True)
+
+
+@query(f"with {o.filtered("lower(c.forest_name) like '%_o%m%'")} select * from rows_")
+def search_like_wildcards(spark, root):
+    return search.filtered(catalogue(spark, root), forest="_O%m ")
+
+
+@query(o.search("smll rng"))
+def search_name_mode(spark, root):
+    return search.search(catalogue(spark, root), "smll rng")
+
+
+@query(o.search("promo", "s.is_open"))
+def search_forest_mode(spark, root):
+    return search.search(catalogue(spark, root), "Promo", is_open=True)
+
+
+@query(o.search("small ring"))
+def search_exact_hit(spark, root):
+    return search.search(catalogue(spark, root), "Small Ring")
+
+
+@query(o.search("small ring with extras"))
+def search_long_query(spark, root):
+    return search.search(catalogue(spark, root), "small ring with extras")
+
+
+@query(o.search("zzz"))
+def search_nothing(spark, root):
+    return search.search(catalogue(spark, root), "zzz")
+
+
+@query(o.search("  "))
+def search_blank(spark, root):
+    return search.search(catalogue(spark, root), "  ")
+
+
+# Similarity
+
+
+@query(f"select distinct p_name as name, {o.ratio('p_name', "'small ring'")} as score from part")
+def fuzzy_ratio(spark, root):
+    names = tables.read(spark, root, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.withColumn("score", fuzzy.ratio_to(F.col("name"), "small ring"))
+
+
+@query(
+    "with n as (select distinct p_name as name, p_brand as brand from part), "
+    "t as (select name, brand, array_to_string(list_sort(string_split(name, ' ')), ' ') as a, array_to_string(list_sort(string_split(lower(brand) || ' ring', ' ')), ' ') as b from n) "
+    f"select name, brand, {o.ratio('a', 'b')} as score from t"
+)
+def fuzzy_token_sort(spark, root):
+    names = tables.read(spark, root, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).distinct()
+    return names.withColumn("score", fuzzy.token_sort_ratio(F.col("name"), F.concat(F.lower("brand"), F.lit(" ring"))))
+
+
+@query(f"with {o.partials('part', 'p_name', 'red plate')} select x as name, p as score from part")
+def fuzzy_partial(spark, root):
+    names = tables.read(spark, root, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.withColumn("score", fuzzy.partial_to(F.col("name"), "red plate"))
+
+
+@query(
+    f"with {o.partials('part', 'p_name', 'small')}, r as (select x, {o.ratio('x', "'small'")} as r from texts) "
+    "select p.x as name, r.r as token_score, p.p * (5.0::double / length(p.x)) as adjusted, greatest(r.r, p.p * (5.0::double / length(p.x))) as score, "
+    "greatest(p.p * 0.6::double, case when contains(p.x, 'small') then 100.0 else 0.0 end) as forest_score from part p join r on p.x = r.x"
+)
+def score_parts(spark, root):
+    names = tables.read(spark, root, "part").select(F.col("p_name").alias("name")).distinct()
+    n = F.col("name")
+    rows = names.withColumns({"token_score": fuzzy.ratio_to(n, "small"), "part": fuzzy.partial_to(n, "small")})
+    rows = rows.withColumn("adjusted", F.col("part") * (F.lit(5.0) / F.length(n))).withColumn("score", F.greatest("token_score", "adjusted"))
+    return rows.withColumn("forest_score", search.forest_score(n, F.col("part"), "small")).drop("part")
+
+
+@query(
+    "with l as (select l_orderkey, l_linenumber, l_partkey, l_linestatus, l_returnflag from lineitem), "
+    "c as (select a.l_partkey as site_id, row_number() over (partition by a.l_partkey order by a.l_orderkey, a.l_linenumber, b.l_partkey) - 1 as pos, "
+    "b.l_partkey as fid, b.l_linestatus = 'O' as reservable, case when b.l_returnflag = 'A' then 'Trail' else 'Campground' end as kind "
+    "from l a join l b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber - 1), "
+    "k as (select c.*, s.p_name as name, nullif(s.p_type, 'STANDARD') as forest, f.p_name as fname, f.p_type as area from c join part s on s.p_partkey = site_id join part f on f.p_partkey = fid where pos < 5), "
+    "n as (select *, case when ends_with(name, ' ring') then replace(name, ' ring', '') else name end as na, case when ends_with(fname, ' ring') then replace(fname, ' ring', '') else fname end as nb from k "
+    "where reservable and kind = 'Campground' and (forest is null or contains(lower(area), lower(forest)))), "
+    "t as (select *, array_to_string(list_sort(string_split(na, ' ')), ' ') as a, array_to_string(list_sort(string_split(nb, ' ')), ' ') as b from n), "
+    f"s as (select site_id, pos, fid, fname, {o.ratio('a', 'b')} as score from t), "
+    "r as (select *, row_number() over (partition by site_id order by score desc, pos) as rn from s where score >= 70) select site_id, fid::varchar as facility_id, fname as facility_name, score from r where rn = 1"
+)
+def resolve_best_match(spark, root):
+    """Candidates of a site are the parts on the next line of its orders; the first five count."""
+    m = resolve.best_match(tables.sites(spark, root), facility_candidates(spark, root), suffix=" ring")
+    return m.select("site_id", F.col("facility.FacilityID").alias("facility_id"), F.col("facility.FacilityName").alias("facility_name"), "score")
+
+
+def facility_candidates(spark: SparkSession, root: str) -> DataFrame:
+    lines = tables.read(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag")
+    a, b = lines.alias("a"), lines.alias("b")
+    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") == F.col("b.l_linenumber") - 1))
+    rows = pairs.select(F.col("a.l_partkey").alias("site_id"), F.col("a.l_orderkey").alias("ok"), F.col("a.l_linenumber").alias("ln"), F.col("b.l_partkey").alias("fid"), F.col("b.l_linestatus").alias("ls"), F.col("b.l_returnflag").alias("rf"))
+    first = Window.partitionBy("site_id").orderBy("ok", "ln", "fid")
+    rows = rows.withColumn("pos", F.row_number().over(first) - 1).where("pos < 5")
+    part = tables.read(spark, root, "part").select(F.col("p_partkey").alias("fid"), "p_name", "p_type")
+    facility = F.struct(
+        F.col("fid").cast("string").alias("FacilityID"),
+        F.col("p_name").alias("FacilityName"),
+        (F.col("ls") == "O").alias("Reservable"),
+        F.when(F.col("rf") == "A", "Trail").otherwise("Campground").alias("FacilityTypeDescription"),
+        F.array(F.struct(F.col("p_type").alias("RecAreaName"))).alias("RECAREA"),
+    )
+    return rows.join(part, "fid").select("site_id", "pos", facility.alias("facility"))
+
+
+# Weather
+
+
+@query(
+    "with w as (select event_id, try_cast(json_extract_string(props, '$.k') as double) as c from events) select event_id, null::varchar as date, null::double as high, null::double as low, null::double as precip_in, "
+    "case when c is null then null when c < 25 then 'mostly clear' when c < 60 then 'partly cloudy' else 'cloudy' end as sky from w"
+)
+def weather_summary(spark, root):
+    rows = tables.read(spark, root, "events").select("event_id", weather.summary(F.col("props"), "k").alias("s"))
+    return rows.select("event_id", "s.*")
+
+
+@query(
+    "with e as (select user_id, ts::date as day, arg_max(props, (ts, event_id)) as props from events group by 1, 2), u as (select user_id, min(day) as s from e group by 1), "
+    "d as (select user_id, unnest(generate_series(s, s + interval 6 day, interval 1 day))::date as day from u) "
+    "select d.user_id as site_id, count(*) as days, sum(coalesce(json_extract_string(props, '$.k')::bigint, 0))::bigint as clouds, "
+    "coalesce(string_agg(strftime(d.day, '%Y-%m-%d') || '=' || json_extract_string(props, '$.k'), ';' order by d.day), '') as forecast from d left join e on d.user_id = e.user_id and d.day = e.day group by 1"
+)
+def weather_range(spark, root):
+    """Seven days from each site's first one; days without a report stay out of the list."""
+    e = tables.read(spark, root, "events").withColumn("day", F.to_date("ts"))
+    reports = e.groupBy(F.col("user_id").alias("site_id"), "day").agg(F.max_by("props", F.struct("ts", "event_id")).alias("forecast"))
+    first = e.groupBy(F.col("user_id").alias("site_id")).agg(F.min("day").alias("s"))
+    wanted = first.select("site_id", F.explode(dates.days(F.col("s"), F.date_add("s", 6))).alias("day"))
+    k = F.try_variant_get(F.try_parse_json("forecast"), "$.k", "bigint")
+    rows = wanted.join(reports, ["site_id", "day"], "left").withColumn("k", k)
+    listed = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("="), F.col("k").cast("string")))))
+    return rows.groupBy("site_id").agg(F.count("*").alias("days"), F.sum(F.coalesce("k", F.lit(0))).alias("clouds"), F.array_join(listed, ";").alias("forecast"))
+
+
+@query(
+    f"with {o.filtered()} select id, case when is_open then 'Open' else 'Closed' end as status, case when has_water and has_restrooms then 'Water,Restrooms' when has_water then 'Water' when has_restrooms then 'Restrooms' else 'No amenities listed' end as badges, "
+    "'cloudy · High ' || round_even(latitude, 0)::decimal(20,1)::varchar || '° / Low ' || round_even(longitude, 0)::decimal(20,1)::varchar || '°' as line from rows_"
+)
+def status_badges(spark, root):
+    rows = search.filtered(catalogue(spark, root))
+    line = weather.weather_line(F.lit("cloudy"), F.col("latitude"), F.col("longitude"), F.lit(None).cast("double"))
+    return rows.select("id", display.status_chip(F.col("is_open")).alias("status"), F.array_join(display.badges(F.col("has_water"), F.col("has_restrooms")), ",").alias("badges"), line.alias("line"))
+
+
+# Links and boxes
+
+
+@query(f"with {o.SITES} select id, latitude + 0.0145::double as top, longitude - 0.0145::double as \"left\", latitude - 0.0145::double as bottom, longitude + 0.0145::double as \"right\" from sites")
+def bbox_numeric(spark, root):
+    rows = tables.sites(spark, root).select("id", display.box(F.col("latitude"), F.col("longitude")).alias("b"))
+    return rows.select("id", "b.*")
+
+
+@query()
+def bbox_url(spark, root):
+    """Rows only: double to text differs between engines in the exponent range."""
+    return tables.sites(spark, root).select("id", display.box_url(F.col("latitude"), F.col("longitude"), "https://maps.example/explore").alias("url"))
+
+
+@query(
+    "select o_orderkey as id, '/campsite/' || o_orderkey || case when o_orderstatus = 'F' then '?end=' || strftime(o_orderdate, '%Y-%m-%d') when o_orderstatus = 'O' then '?start=' || strftime(o_orderdate, '%Y-%m-%d') || '&end=' || strftime(o_orderdate, '%Y-%m-%d') else '' end as link from orders"
+)
+def detail_link(spark, root):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    start, end = F.when(F.col("o_orderstatus") == "O", day), F.when(F.col("o_orderstatus").isin("O", "F"), day)
+    return tables.read(spark, root, "orders").select(F.col("o_orderkey").alias("id"), display.detail_link(F.col("o_orderkey"), start, end).alias("link"))
+
+
+@query(
+    "with n as (select c_custkey as id, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'F' group by 1) "
+    "select id, case when n > 0 then 'https://book.example/' || id end as url, (case when n > 0 then n else 0 end)::int as num_sites from n"
+)
+def reservation_fields(spark, root):
+    orders = tables.read(spark, root, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    rows = tables.read(spark, root, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    made = display.reservation(F.col("c_custkey").cast("string"), F.col("n"), "https://book.example/")
+    return rows.select(F.col("c_custkey").alias("id"), made.alias("r")).select("id", "r.*")
+
+
+# Text
+
+
+@query("select page_id, string_split(regexp_replace(url, '/+$', ''), '/')[-1] as tail from pages")
+def url_tail(spark, root):
+    return tables.read(spark, root, "pages").select("page_id", text.url_tail(F.col("url")).alias("tail"))
+
+
+@query(r"select page_id, case when length(html) > 0 then regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^[\s\x1c-\x1f\x{85}\x{a0}\p{Z}]+', ''), '[\s\x1c-\x1f\x{85}\x{a0}\p{Z}]+$', '') end as text from pages")
+def strip_html(spark, root):
+    return tables.read(spark, root, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query(r"select doc_id, regexp_replace(lower(coalesce(text, '')), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') as flat from documents")
+def normalize_text(spark, root):
+    return tables.read(spark, root, "documents").select("doc_id", text.normalize(F.col("text")).alias("flat"))
+
+
+@query(
+    "select p_partkey as id, case when ends_with(lower(p_name), ' ring') then replace(lower(p_name), ' ring', '') else lower(p_name) end as name, length(p_name)::int as n, contains(p_name, 'ring') as has, trim(replace(p_name, 'small', '')) as rest from part"
+)
+def name_suffix(spark, root):
+    n = F.col("p_name")
+    return tables.read(spark, root, "part").select(
+        F.col("p_partkey").alias("id"), text.normalize_name(n, " ring").alias("name"), F.length(n).alias("n"), F.contains(n, F.lit("ring")).alias("has"), text.without_label(n, "small").alias("rest")
+    )
+
+
+# Changes
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(props, (ts, event_id)) as props from events group by 1")
+def upsert_latest(spark, root):
+    e = tables.read(spark, root, "events").select("user_id", "event_id", "ts", "props", "event_type")
+    old, new = e.where("event_type = 'click'"), e.where("event_type <> 'click'")
+    return changes.upsert_latest(old.drop("event_type"), new.drop("event_type"), "user_id", ["ts", "event_id"])
+
+
+@query(
+    "with m as (select o_custkey, nullif(arg_max(o_orderstatus, (o_orderdate, o_orderkey)), 'P') as s, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as t from orders group by 1) "
+    "select c_custkey, c_name, c_nationkey, case when o_custkey is not null then t else c_acctbal end as c_acctbal, case when o_custkey is not null then s else c_mktsegment end as c_mktsegment from customer left join m on c_custkey = o_custkey"
+)
+def update_from_match(spark, root):
+    last = tables.read(spark, root, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by(F.struct("o_orderstatus", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("x"))
+    matches = last.select("c_custkey", F.nullif("x.o_orderstatus", F.lit("P")).alias("c_mktsegment"), F.col("x.o_totalprice").alias("c_acctbal"))
+    return changes.update_matched(tables.read(spark, root, "customer"), matches, "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@query(
+    "with old as (select o_custkey as site, o_orderpriority as url from orders), new as (select c_custkey as site, '1-URGENT' as url from customer) "
+    "select * from old union all select distinct * from new n where not exists (select 1 from old where old.site = n.site and old.url = n.url)"
+)
+def insert_ignore(spark, root):
+    old = tables.read(spark, root, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderpriority").alias("url"))
+    new = tables.read(spark, root, "customer").select(F.col("c_custkey").alias("site"), F.lit("1-URGENT").alias("url"))
+    return changes.insert_ignore(old, new, ["site", "url"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
+def cascade(spark, root):
+    lines = tables.read(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return changes.cascade(lines, tables.read(spark, root, "orders").where("o_orderstatus = 'F'"), "l_orderkey", "o_orderkey")
+
+
+@query("select page_id, url, string_split(regexp_replace(url, '/+$', ''), '/')[-1] as forest_name from pages")
+def update_pure(spark, root):
+    p = tables.read(spark, root, "pages").select("page_id", "url")
+    return changes.update_column(p, "forest_name", text.url_tail(F.col("url")))
+
+
+@query("select *, null::varchar as forest_name from region")
+def add_column_if_missing(spark, root):
+    return changes.add_column(changes.add_column(tables.read(spark, root, "region"), "forest_name"), "r_name")
+
+
+@query(
+    "select c_name as name, null::varchar as num_sites, c_mktsegment as address, c_name as contact_name, 'Unknown' as park from customer"
+)
+def csv_rename(spark, root):
+    rows = tables.read(spark, root, "customer").withColumn("park_name", F.lit("Unknown"))
+    return changes.from_csv(rows, {"name": "c_name", "num_sites": None, "address": "c_mktsegment", "contact_name": "c_name", "park": "park_name"})
+
+
+# Nested values
+
+
+@query("select l_orderkey as id, bool_or(contains(lower(l_returnflag), 'a')) as hit, count(*) as n from lineitem group by 1")
+def nested_any(spark, root):
+    lines = tables.read(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("RecAreaName"))).alias("areas"))
+    return lines.select("id", resolve.in_areas(F.col("areas"), F.lit("A")).alias("hit"), F.size("areas").cast("long").alias("n"))
+
+
+@query("select l_orderkey as site_id, 'u' || l_linenumber as image_url, l_linestatus as description from lineitem where l_returnflag = 'N'")
+def media_explode(spark, root):
+    kind = F.when(F.col("l_returnflag") == "N", "Image").otherwise("Video")
+    media = F.struct(kind.alias("MediaType"), F.concat(F.lit("u"), F.col("l_linenumber").cast("string")).alias("URL"), F.col("l_linestatus").alias("Title"))
+    rows = tables.read(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("site_id")).agg(F.collect_list(media).alias("MEDIA"))
+    return resolve.images_of(rows.select("site_id", F.struct("MEDIA").alias("facility")))
+
+
+_SEED_ROWS = " union all ".join(f"select '{s}' as slug" for part in pages.SEEDS for s in part)
+
+
+@query(f"with s as ({_SEED_ROWS}) select slug, string_split(slug, '/')[-1] as name from s")
+def seed_union(spark, root):
+    parts = [spark.createDataFrame([(s,) for s in part], "slug string") for part in pages.SEEDS]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return rows.select("slug", text.url_tail(F.col("slug")).alias("name"))
+
+
+@query(
+    "select event_id, json_extract_string(props, '$.k')::bigint as k, coalesce(json_extract_string(props, '$.missing'), 'UNKNOWN') as missing, event_type as kind, false as is_empty from events"
+)
+def json_roundtrip(spark, root):
+    e = tables.read(spark, root, "events")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    stored = e.select("event_id", F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("kind"))).alias("j"))
+    v = F.try_parse_json("j")
+    return stored.select(
+        "event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(F.try_variant_get(v, "$.missing", "string"), F.lit("UNKNOWN")).alias("missing"), F.try_variant_get(v, "$.kind", "string").alias("kind"), (F.col("j").isNull() | (F.col("j") == "{}")).alias("is_empty")
+    )
+
+
+@query(
+    "with x as (select o_orderkey as id, case o_orderstatus when 'P' then strftime(o_orderdate, '%Y-%-m-%-d') when 'F' then strftime(o_orderdate, '%Y-%m-%d') else 'x' || strftime(o_orderdate, '%Y-%m-%d') end as t from orders), "
+    "d as (select id, try_strptime(t, '%Y-%m-%d')::date as d from x) select id, d as day, coalesce(d, date '2000-01-01') as start_day, strftime(coalesce(d, date '2000-01-01'), '%Y-%m-%d') as shown, greatest(datediff('day', coalesce(d, date '2000-01-01'), coalesce(d, date '2000-01-01') - 1) + 1, 1)::int as days from d"
+)
+def date_parse(spark, root):
+    day = F.col("o_orderdate")
+    shown = F.when(F.col("o_orderstatus") == "P", F.date_format(day, "yyyy-M-d")).when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.lit("x"), F.date_format(day, "yyyy-MM-dd")))
+    rows = tables.read(spark, root, "orders").select(F.col("o_orderkey").alias("id"), shown.alias("t"))
+    rows = rows.withColumn("day", dates.parse(F.col("t"))).withColumn("start_day", dates.request_range(F.col("t"), F.lit(None).cast("string"), F.to_date(F.lit("2000-01-01")))["start"])
+    spans = F.size(dates.days(F.col("start_day"), F.date_sub("start_day", 1), least=1))
+    return rows.select("id", "day", "start_day", F.date_format("start_day", "yyyy-MM-dd").alias("shown"), spans.alias("days"))
+
+
+@query(
+    "with a as (select l_orderkey as id, list(l_partkey order by l_linenumber) as p from lineitem group by 1) select id, p[-1] as last, list_sum(list_slice(list_sort(p), 1, 2))::bigint as two, "
+    "len(list_transform(p, lambda x: x + 1))::int as n, list_sum(list_transform(range(1, len(p) + 1), lambda i: i * p[i::int]))::bigint as weighted, array_to_string(list_transform(p, lambda x: 'r'), '') as rep from a"
+)
+def array_ops(spark, root):
+    lines = tables.read(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    p = F.transform("x", lambda s: s["l_partkey"])
+    add = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda a, v: a + v)
+    zipped = F.arrays_zip(p.alias("p"), F.sequence(F.lit(1), F.size("x")).alias("i"))
+    return lines.select(
+        "id",
+        F.try_element_at(p, F.lit(-1)).alias("last"),
+        add(F.slice(F.sort_array(p), 1, 2)).alias("two"),
+        F.size(F.transform(p, lambda v: v + 1)).alias("n"),
+        add(F.transform(zipped, lambda z: z["p"] * z["i"])).alias("weighted"),
+        F.array_join(F.array_repeat(F.lit("r"), F.size("x")), "").alias("rep"),
+    )
+
+
+@query(f"with {o.filtered()} select count(*) as n, count(is_open) as n_status, count(*) filter (where has_water) as n_water, least(count(*), 5)::bigint as shown from rows_")
+def result_counts(spark, root):
+    rows = search.filtered(catalogue(spark, root))
+    return rows.agg(F.count("*").alias("n"), F.count("is_open").alias("n_status"), F.count_if("has_water").alias("n_water"), F.least(F.count("*"), F.lit(5)).cast("long").alias("shown"))
+
+
+# Pages
+
+
+@query()
+def page_links(spark, root):
+    return pages.extract_links(tables.read(spark, root, "pages"))
+
+
+@query()
+def page_flags(spark, root):
+    """Per page: keywords on its links and the last and first labels, from the parsed links."""
+    links = page_links(spark, root)
+    rows = links.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
+    wet = F.exists("labels", lambda x: F.lower(x).rlike("(water)|(swimming)|(boating)|(lake)"))
+    return rows.select("page_id", wet.alias("body_of_water"), F.try_element_at("labels", F.lit(-1)).alias("last"), F.get("labels", F.lit(0)).alias("first"), text.bullet_list(F.col("labels")).alias("bullets"))
+
+
+@query()
+def html_extract(spark, root):
+    return pages.extract_details(tables.read(spark, root, "pages"))
+
+
+@query("select user_id, max(ts)::timestamptz as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, arg_max(props, (ts, event_id)) as props from events group by 1")
+def stream_latest(spark, root):
+    return latest.stream_latest(spark, root)
