@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import circulant, compress_lang, curriculum, nn_graph, packing, png_media, token_counts, token_store, toxic_crf
+from waymark.llm import circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, token_counts, token_store, toxic_crf
 from waymark.llm.folds import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -37,6 +37,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 i (chosen) and 2 i + 1 (rejected) are the pair i."""
+    conv = F.col("conv_id").cast("long")
+    pairs = preferences.format_pairs(table(spark, sf_dir, "conversations"), F.call_function("shiftright", conv, F.lit(1)), conv.bitwiseAND(F.lit(1)) == 1)
+    spans = {c: preferences.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")}
+    return pairs.withColumns(spans)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxic_crf.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out())
@@ -62,9 +70,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
+    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_preferences": r"""
+with t as (select conv_id >> 1 as pair_id, conv_id & 1 as side, coalesce(role, '') as role, coalesce(text, '') as text,
+                  row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as i
+           from conversations where conv_id is not null),
+b as (select coalesce(x.pair_id, y.pair_id) as pair_id, coalesce(x.i, y.i) as i,
+             x.role is not distinct from y.role and x.text is not distinct from y.text as same
+      from (from t where side = 0) x full join (from t where side = 1) y on x.pair_id = y.pair_id and x.i = y.i),
+n as (select pair_id, coalesce(min(i) filter (where not same) - 1, max(i)) as n from b group by 1),
+r as (select t.*, n.n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as s from t join n using (pair_id)),
+p as (select *, coalesce(sum(length(s)) over (partition by pair_id, side, i > n order by i rows between unbounded preceding and 1 preceding), 0)::bigint as ofs from r),
+q as (select *, (ofs + length(role) + 5) || '-' || (ofs + length(s)) as span from p)
+select pair_id, any_value(n)::int as n_shared,
+       coalesce(string_agg(s, '' order by i) filter (where i <= n and side = 0), '') as prompt,
+       coalesce(string_agg(s, '' order by i) filter (where i > n and side = 0), '') as chosen,
+       coalesce(string_agg(s, '' order by i) filter (where i > n and side = 1), '') as rejected,
+       coalesce(string_agg(span, ',' order by i) filter (where i > n and side = 0 and role = 'assistant'), '') as chosen_spans,
+       coalesce(string_agg(span, ',' order by i) filter (where i > n and side = 1 and role = 'assistant'), '') as rejected_spans
+from q group by 1
+""",
     "op3_mix_sources": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
                   md5(coalesce(doc_id::varchar, 'null')) as k
