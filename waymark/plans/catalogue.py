@@ -408,8 +408,9 @@ def date_parse(spark, root):
 
 
 @query(
-    "with a as (select l_orderkey as id, list(l_partkey order by l_linenumber) as p from lineitem group by 1) select id, p[-1] as last, list_sum(list_slice(list_sort(p), 1, 2))::bigint as two, "
-    "len(list_transform(p, lambda x: x + 1))::int as n, list_sum(list_transform(range(1, len(p) + 1), lambda i: i * p[i::int]))::bigint as weighted, array_to_string(list_transform(p, lambda x: 'r'), '') as rep from a"
+    "with a as (select l_orderkey as id, l_partkey as p, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as i, row_number() over (partition by l_orderkey order by l_partkey) as r, "
+    "count(*) over (partition by l_orderkey) as n from lineitem) select id, max(p) filter (where i = n) as last, (sum(p) filter (where r <= 2))::bigint as two, any_value(n)::int as n, sum(i * p)::bigint as weighted, "
+    "repeat('r', any_value(n)::int) as rep from a group by id"
 )
 def array_ops(spark, root):
     lines = tables.read(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
@@ -454,6 +455,6 @@ def html_extract(spark, root):
     return pages.extract_details(tables.read(spark, root, "pages"))
 
 
-@query("select user_id, max(ts)::timestamptz as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, arg_max(props, (ts, event_id)) as props from events group by 1")
+@query("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, arg_max(props, (ts, event_id)) as props from events group by 1")
 def stream_latest(spark, root):
     return latest.stream_latest(spark, root)

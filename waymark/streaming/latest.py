@@ -39,7 +39,7 @@ def stream_latest(spark: SparkSession, root: str) -> DataFrame:
     """The latest event of each user, through a stream over the events table."""
     schema = spark.read.parquet(f"{root}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value", "props")
+    rows = events.select("user_id", "ts", "event_id", "event_type", "value", "props")
     target = new_path(spark, "stream-latest")
     query = upsert_stream(rows, "user_id", ["ts", "event_id"], target)
     query.awaitTermination()
