@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from waymark.llm import circulant, compress_lang, curriculum, packing, toxic_crf
 from waymark.llm.folds import held_out
-from waymark.llm.scratch import write_table
+from waymark.llm.scratch import bounded_batches, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; the model learns from the labelled ones here."""
-    model = toxic_crf.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
+    model = toxic_crf.fit_toxicity(docs, bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
     return toxic_crf.score_toxicity(docs, model).where("toxic_pred = 0").select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the compressed sizes tell a language; those without letters or a margin go."""
+    bounded_batches(spark)
     model = compress_lang.fit_languages(docs, ~held_out())
     return compress_lang.classify(docs, model).where("not lang_rejected").select(*docs.columns)
 
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents with a null id can't be told apart by it and all stay.
     """
+    bounded_batches(spark)
     groups = circulant.near_duplicates(docs)
     kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
@@ -45,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 token ids."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

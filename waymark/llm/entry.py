@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, token_counts, token_store, toxic_crf
 from waymark.llm.folds import held_out
+from waymark.llm.scratch import bounded_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -69,8 +70,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=(85, 100))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(bounded_batches(spark), sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
+    f.__name__: _bounded(f) for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_preferences": r"""

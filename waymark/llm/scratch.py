@@ -26,3 +26,13 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of one Arrow batch on the way to a Python worker and back.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches of this session hold ``BATCH_BYTES`` at most: whole texts can be long, and workers share a machine."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark

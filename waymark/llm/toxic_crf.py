@@ -181,31 +181,50 @@ def train(texts: list[str], toxic: np.ndarray, all_clean: int = 0, all_toxic: in
     theta[m] = np.log((gold.sum() + 1) / (n + 2))
     hold, spread = np.zeros(m + 7), np.zeros(m + 7)
     scale = max(1.0, gold.sum())
+    parts = _parts(first, where)
     for step in range(1, STEPS + 1) if n else ():
-        odds = np.exp(np.clip(theta[m] + np.bincount(where, theta[which], n), -30, 30))
         chain, start = np.exp(theta[m + 1 : m + 5]), np.exp(theta[m + 5 :])
-        alpha, beta = messages(odds, first, chain, start)
-        p = alpha[1] * beta[1] / (alpha[0] * beta[0] + alpha[1] * beta[1])
-        pair = np.empty((4, n))
-        prior = np.concatenate([[[0.5], [0.5]], alpha[:, :-1]], axis=1)
-        for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            pair[k] = prior[i] * chain[k] * (odds if j else 1.0) * beta[j]
-        pair /= pair.sum(0)
-        want = pair @ inner
-        grad = np.concatenate([np.bincount(which, (gold - p)[where], m), [np.sum(gold - p)], seen.ravel() - want, starts - [np.sum((1 - p) * first), np.sum(p * first)]])
+        grad = np.concatenate([np.zeros(m + 1), seen.ravel(), starts])
+        for lo, hi, x, y in parts:  # whole documents, so many at a time that the messages stay small
+            here, size, f = where[x:y] - lo, hi - lo, first[lo:hi]
+            odds = np.exp(np.clip(theta[m] + np.bincount(here, theta[which[x:y]], size), -30, 30))
+            alpha, beta = messages(odds, f, chain, start)
+            p = alpha[1] * beta[1] / (alpha[0] * beta[0] + alpha[1] * beta[1])
+            pair = np.empty((4, size))
+            prior = np.concatenate([[[0.5], [0.5]], alpha[:, :-1]], axis=1)
+            for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+                pair[k] = prior[i] * chain[k] * (odds if j else 1.0) * beta[j]
+            pair /= pair.sum(0)
+            grad[:m] += np.bincount(which[x:y], (gold[lo:hi] - p)[here], m)
+            grad[m] += np.sum(gold[lo:hi] - p)
+            grad[m + 1 : m + 5] -= pair @ ~f
+            grad[m + 5 :] -= [np.sum((1 - p) * f), np.sum(p * f)]
         grad = grad / scale - PENALTY * theta
         hold, spread = 0.9 * hold + 0.1 * grad, 0.99 * spread + 0.01 * grad**2
         theta = theta + 0.2 * (hold / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
     model = Model(
         {f: float(theta[k]) for f, k in index.items()}, float(theta[m]), tuple(np.exp(theta[m + 1 : m + 5]).tolist()), tuple(np.exp(theta[m + 5 :]).tolist())
     )
-    odds = np.exp(np.clip(theta[m] + np.bincount(where, theta[which], n), -30, 30)) if n else np.zeros(0)
-    expected = np.bincount(owner, marginals(odds, first, model.chain, model.start) ** 2, len(texts))
+    expected = np.zeros(len(texts))
+    for lo, hi, x, y in parts:
+        odds = np.exp(np.clip(theta[m] + np.bincount(where[x:y] - lo, theta[which[x:y]], hi - lo), -30, 30))
+        expected += np.bincount(owner[lo:hi], marginals(odds, first[lo:hi], model.chain, model.start) ** 2, len(texts))
     ratio = np.array([all_clean / max(1, np.sum(toxic == 0)), all_toxic / max(1, np.sum(toxic == 1))]) if all_clean + all_toxic else np.ones(2)
     model.curve = fit_curve(expected, toxic, ratio)
     return model
 
 
+def _parts(first: np.ndarray, where: np.ndarray, tokens: int = 150_000) -> list[tuple[int, int, int, int]]:
+    """Runs of whole documents of about so many tokens: their tokens, and their places in ``where``."""
+    heads = [*np.flatnonzero(first).tolist(), len(first)]
+    cuts = [0]
+    for a in heads:
+        if a - cuts[-1] >= tokens or (a == len(first) and a > cuts[-1]):
+            cuts.append(a)
+    at = np.searchsorted(where, cuts).tolist()
+    return list(zip(cuts, cuts[1:], at, at[1:], strict=False))
+
+
 def evidence(expected):
     """What the curve reads: it grows with the toxic tokens' squared marginals, fastest below one."""
     return np.log((np.asarray(expected, float) + 0.01) / 0.1)

@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of one generation of the memo; two generations are held, some 250 bytes an entry.
-MEMO_ENTRIES = 500_000
+#: Entries of one generation of the memo; two generations are held, some 200 bytes an entry.
+MEMO_ENTRIES = 300_000
 
 #: One run of lower-case Latin letters and at most one mark: one or two pre-tokens for certain.
 PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
@@ -77,7 +77,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.by_chunk = cuts_at_space(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.alphabet, self.memo, self.pieces = byte_alphabet(), Memo(entries), Memo(entries)
+        self.alphabet, self.memo, self.pieces = byte_alphabet(), Memo(entries), Memo(entries // 3)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
