@@ -33,8 +33,9 @@ from waymark.llm.wordids import Memo, batches
 
 #: Bound of the fit: clean and toxic labelled documents, those with the smallest hashes.
 SAMPLE_DOCS = (2000, 1000)
-#: A word or beginning is a feature if so many toxic texts have it, and so many times the share of clean ones.
-MIN_TEXTS, MIN_RATIO = 4, 8.0
+#: A word or beginning is a feature if toxic texts have it so many times as often as clean ones, and if the
+#: log-likelihood ratio says that chance, among all the words there are, hardly gives that.
+MIN_RATIO, MIN_G2 = 8.0, 15.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS = 40
 PENALTY = 1e-3
@@ -77,7 +78,7 @@ def messages(odds: np.ndarray, first: np.ndarray, chain, start) -> tuple[np.ndar
     size = blocks * width
     e = np.ones(size)
     e[:n] = odds
-    f = np.zeros(size, bool)
+    f = np.ones(size, bool)  # what fills the last block up is no part of the last document
     f[:n] = first
     e, f = np.ascontiguousarray(e.reshape(blocks, width).T), np.ascontiguousarray(f.reshape(blocks, width).T)
     a00, a01, a10, a11 = chain
@@ -142,9 +143,12 @@ def learn_tokens(texts: list[str], toxic: np.ndarray) -> set[str]:
         counts[label].update({f for w in words for f in features(w)})
         totals[label] += 1
     clean, bad = counts
-    scale = (totals[0] + 1) / (totals[1] + 1)
-    least = min(MIN_TEXTS, max(2, totals[1] // 8))
-    return {f for f, n in bad.items() if n >= least and n * scale >= MIN_RATIO * (clean[f] + 1)}
+    scale, share = (totals[0] + 1) / (totals[1] + 1), totals[1] / sum(totals)
+
+    def g2(n: int, c: int) -> float:
+        return 2 * (n * np.log(n / ((n + c) * share)) + (c * np.log(c / ((n + c) * (1 - share))) if c else 0.0))
+
+    return {f for f, n in bad.items() if n * scale >= MIN_RATIO * (clean[f] + 1) and (share == 1 or g2(n, clean[f]) >= MIN_G2)}
 
 
 def train(texts: list[str], toxic: np.ndarray, all_clean: int = 0, all_toxic: int = 0) -> Model:
