@@ -170,7 +170,8 @@ def read_digests(store: DataFrame) -> DataFrame:
 
 
 def _read(store: DataFrame, of, kind: pa.DataType, column: str) -> DataFrame:
-    # One row for each range partition; what lies before a part is the sum of the parts below it.
+    # What lies before a part is the sum of the parts below it. One row for each task that wrote, 16 bytes: with a
+    # million tasks still a small broadcast, and the segments are not shuffled for it.
     totals = store.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("part_ids").over(below), F.lit(0)).alias("base"))
@@ -189,4 +190,4 @@ def _read(store: DataFrame, of, kind: pa.DataType, column: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return store.join(bases, "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return store.join(F.broadcast(bases), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
