@@ -1,0 +1,43 @@
+"""Every registered query against its SQL on the tables of the smallest size."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from waymark.plans import catalogue
+
+ROOT = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in os.listdir(ROOT):
+        c.execute(f"create view {f[:-8]} as select * from '{ROOT}/{f}'")
+    return c
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return sorted(repr([round(float(r[k]), 9) if isinstance(r[k], float) else str(r[k]) for k in order]) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
+def test_query_equals_sql(spark, con, name):
+    df = catalogue.QUERIES[name](spark, ROOT)
+    want = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL])
+def test_other_queries_run(spark, name):
+    assert catalogue.QUERIES[name](spark, ROOT).count() > 0
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
