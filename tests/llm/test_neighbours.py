@@ -34,6 +34,38 @@ def test_vector_rows(spark):
     assert nn_graph.nearest_neighbours(v.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def table_of(spark, ids, x):
+    return spark.createDataFrame(zip(ids.tolist(), x.tolist(), strict=True), "vec_id long, embedding array<double>").repartition(4)
+
+
+def recall(out, ids, x, k=5):
+    """Share of the k best places that hold a neighbour at least as near (to 1e-12) as the k-th in truth."""
+    unit, hits, n, at = x / np.linalg.norm(x, axis=1, keepdims=True), 0, 0, {int(i): j for j, i in enumerate(ids)}
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in got.items():
+        s = unit @ unit[at[q]]
+        s[at[q]] = -9
+        least = np.partition(s, -k)[-k]
+        hits, n = hits + sum(s[at[v]] >= least - 1e-12 for v in found), n + k
+    return hits / n
+
+
+def test_near_copies_and_rescaled_copies(spark):
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(64) / 8
+    ids = np.arange(5000)
+    jittered = one + 0.002 / 8 * rng.standard_normal((5000, 64))
+    out = nn_graph.nearest_neighbours(table_of(spark, ids, jittered), lambda i: i % 50 == 0)
+    assert recall(out, ids, jittered) >= 0.9
+    rescaled = one * rng.uniform(0.01, 100, (5000, 1))
+    got = {}
+    for r in sorted(nn_graph.nearest_neighbours(table_of(spark, ids, rescaled), lambda i: i % 500 == 0).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i in range(6) if i != q][:5] for q in range(0, 5000, 500)}
+
+
 def brute(docs, k, share):
     sets = {}
     for i, t in docs:

@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph built with joins, searched greedily.
 
-Equal vectors form one node (named by its smallest id), so a very common vector is one node however many rows
-have it; up to ``k + 1`` of its smallest ids are kept, which is all that a list of k neighbours can show.
+Vectors of equal direction (to 12 digits of the largest component) form one node, named by its smallest id, so a very
+common vector is one node however many rows have it, at whatever scale; up to ``k + 1`` of its smallest ids are kept, which is all that a list of k neighbours can show.
 
 Build: nodes are sorted into blocks by the signs of random projections, a few times over, and every node
 takes its nearest ones in its blocks. Then, in rounds, each node introduces its neighbours (by forward and
 backward edges, the backward ones bounded by ``REVERSE`` smallest hashes) to each other: a Spark join brings the
 neighbours' vectors to the node, all pairs are measured there, and what beats a neighbour's own list goes to it.
-Rounds end when few lists change. Vectors travel as 8-bit integers during build and search.
+Rounds end when few lists change. Vectors travel as unit vectors in single precision, and ``near`` is half the squared
+distance with a minus, summed in double precision: it tells near copies apart where their cosines all round to 1.
 
 Search: a beam of the ``beam`` best nodes seen so far; each round expands those not expanded yet by a join with
-the graph, until none is left. The beam's nodes are measured again on the original vectors in double precision.
+the graph, until none is left. All nodes seen are measured on the original vectors in double precision.
+Cosines equal to 14 digits are ties, of which the smallest id comes first.
 
 Rows: vectors that are null, zero, of another length than most or hold a null or a non-finite component take no
 part, neither as query nor as candidate; so do null ids. Of rows that repeat an id the first in vector
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.scratch import write_table
@@ -37,28 +39,41 @@ ROUNDS = 8
 SETTLED = 0.01
 BEAM = 64
 ENTRIES = 64
+#: Below every ``near``.
+NOTHING = -9.0
 
 
-def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 6) -> DataFrame:
-    """``node, vector, ids``: the distinct usable vectors, with the ``keep`` smallest ids of each."""
+def _direction(v: Column) -> Column:
+    """The vector over its largest component, to 12 digits: a key that rescaled copies share."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.transform(v, lambda x: F.rint(x / most * F.lit(1e12)).cast("long"))
+
+
+def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id, vector`` of the rows that take part, one for each id."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    usable = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    rows = usable.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+
+
+def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 6) -> DataFrame:
+    """``node, vector, ids, direction``: the usable vectors of distinct direction, with the ``keep`` smallest ids of each."""
+    rows = _usable(vectors, id_col, vector_col)
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.where(F.size("vector") == (lengths[0]["n"] if lengths else 0))
+    rows = rows.withColumn("direction", _direction(F.col("vector")))
     # Ids of a vector are first bounded within slices of the ids, so a very common vector meets in no task.
-    near = Window.partitionBy("vector", "slice").orderBy("id")
+    near = Window.partitionBy("direction", "slice").orderBy("id")
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep)
-    grouped = sliced.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
-    return grouped.select(F.element_at("ids", 1).alias("node"), "vector", "ids")
+    grouped = sliced.groupBy("direction").agg(F.min_by("vector", "id").alias("vector"), F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
+    return grouped.select(F.element_at("ids", 1).alias("node"), "vector", "ids", "direction")
 
 
-def _small(vector: np.ndarray) -> np.ndarray:
-    """Rows of unit length as 8-bit integers; dot products of two are close to the cosine times ``UNIT`` squared."""
-    unit = vector / np.linalg.norm(vector, axis=1, keepdims=True)
-    most = np.abs(unit).max(1, keepdims=True)
-    return np.round(unit / most * 127).astype(np.int8)
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows of unit length; first scaled by the largest component, so that no square overflows."""
+    scaled = matrix / np.abs(matrix).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _rows(column: pa.Array, dtype) -> np.ndarray:
@@ -66,11 +81,6 @@ def _rows(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    m = _rows(column, np.int8).astype(np.float32)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Tables of whole groups of a partition sorted by its first column, and where the groups lie."""
     held: list[pa.RecordBatch] = []
@@ -112,14 +122,16 @@ def _introduce(rows: DataFrame, most: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, where in groups(it):
             node, floor = table.column("node").to_numpy(), table.column("floor").to_numpy()
-            unit = _units(table.column("small").combine_chunks())
+            unit = _rows(table.column("small").combine_chunks(), np.float32).astype(np.float64)
             a, b, s, n = [], [], [], 0
             for x, y in where:
                 m = y - x
                 if m < 2:
                     continue
                 near = unit[x:y] @ unit[x:y].T
-                np.fill_diagonal(near, -2)
+                square = near.diagonal() / 2
+                near = np.minimum(near - square[:, None] - square, 0).astype(np.float32)
+                np.fill_diagonal(near, NOTHING)
                 k = min(most, m - 1)
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(-near, axis=1)[:, :k]
                 value = np.take_along_axis(near, top, 1)
@@ -145,7 +157,7 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _shrink(nodes: DataFrame) -> DataFrame:
-    """``node, small, codes``: 8-bit vectors and one block code for each planting (62 sign bits)."""
+    """``node, small, codes``: unit vectors in single precision and one block code for each planting (62 sign bits)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -153,7 +165,7 @@ def _shrink(nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             matrix = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            small = _small(matrix)
+            small = _unit(matrix).astype(np.float32)
             if planes is None:
                 planes = np.random.default_rng(7).standard_normal((matrix.shape[1], PLANTINGS * 62))
             bits = (small.astype(np.float64) @ planes > 0).reshape(len(small), PLANTINGS, 62).astype(np.int64)
@@ -164,7 +176,7 @@ def _shrink(nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """``node, other, near`` (approximate cosine): about the k nearest others of each node. ``nodes``: a written table."""
+    """``node, other, near``: about the k nearest others of each node. ``nodes``: a written table."""
     small = write_table(_shrink(nodes), "small")
     n = small.count()
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
@@ -172,13 +184,13 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     # Blocks that are too full are split by a hash of the node; what that parts, the rounds find.
     full = planted.groupBy("p", "code").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     blocks = planted.join(full, ["p", "code"]).withColumn("g", F.xxhash64("p", "code", F.pmod(F.xxhash64("node", "p"), F.col("parts"))))
-    graph = write_table(_nearest(_introduce(blocks.withColumn("floor", F.lit(-2.0).cast("float")), k), k), "graph")
+    graph = write_table(_nearest(_introduce(blocks.withColumn("floor", F.lit(NOTHING).cast("float")), k), k), "graph")
     for _ in range(ROUNDS):
         back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"))
         reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE).select(F.col("other").alias("g"), "node")
         around = graph.select(F.col("node").alias("g"), F.col("other").alias("node")).unionAll(reverse).unionAll(small.select(F.col("node").alias("g"), "node")).distinct()
         floors = graph.groupBy("node").agg(F.min("near").alias("least"), F.count("*").alias("full"))
-        known = small.select("node", "small").join(floors, "node", "left").select("node", "small", F.when(F.col("full") >= k, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
+        known = small.select("node", "small").join(floors, "node", "left").select("node", "small", F.when(F.col("full") >= k, F.col("least")).otherwise(F.lit(NOTHING)).cast("float").alias("floor"))
         found = _introduce(around.join(known, "node"), k)
         before, graph = graph, write_table(_nearest(graph.unionAll(found), k), "graph")
         changed = graph.join(before, ["node", "other"], "left_anti").count()
@@ -188,35 +200,34 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """``query, node, score``: the beam of each query, with exact cosines. ``queries``: query, vector, start (a node or null).
+    """``query, node, score``: the nodes that each query has seen, with exact cosines. ``queries``: query, vector, start (a node or null).
 
     A query starts at the graph neighbours of ``start``; without one at ``ENTRIES`` fixed nodes.
     """
     beam = max(beam, k)
     queries = write_table(queries.select("query", "vector", "start"), "queries")
-    small = write_table(_shrink(nodes).select("node", "small"), "small")
-    asked = write_table(_shrink(queries.select(F.col("query").alias("node"), "vector")).select(F.col("node").alias("query"), "small"), "asked")
+    vectors = nodes.select("node", "vector")
     around = write_table(graph.select("node", "other").unionAll(graph.select("other", "node")).distinct(), "around")
     starts = queries.where("start is not null").select("query", F.col("start").alias("node"))
-    entries = small.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)  # a fixed number of rows
+    entries = vectors.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)  # a fixed number of rows
     lost = queries.where("start is null").select("query").crossJoin(F.broadcast(entries))
     fresh = starts.join(around, "node").select("query", F.col("other").alias("node")).unionAll(starts).unionAll(lost).distinct()
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, where in groups(it):
             query, node = table.column("query").to_numpy(), table.column("node").to_pylist()
-            unit = _units(table.column("small").combine_chunks())
+            unit = _unit(table.column("vector").combine_chunks().flatten().to_numpy().reshape(len(node), -1))
             at = [j for j, v in enumerate(node) if v is None]  # the query's own row, one in each group
             of = dict(zip(query[at].tolist(), at, strict=True))
-            near = np.concatenate([unit[x:y] @ unit[of[int(query[x])]] for x, y in where])
+            score = np.concatenate([(unit[x:y] * unit[of[int(query[x])]]).sum(1) for x, y in where])
             rows = [j for j, v in enumerate(node) if v is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(query[rows]), pa.array([node[j] for j in rows], pa.int64()), pa.array(near[rows].astype(np.float32))], names=["query", "node", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(query[rows]), pa.array([node[j] for j in rows], pa.int64()), pa.array(score[rows])], names=["query", "node", "score"])
 
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "node")
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "node")
     seen = None
     while True:
-        with_vectors = fresh.join(small, "node").select("query", "node", "small").unionAll(asked.select("query", F.lit(None).cast("long").alias("node"), "small"))
-        measured = with_vectors.repartition("query").sortWithinPartitions("query").mapInArrow(measure, "query long, node long, near float")
+        with_vectors = fresh.join(vectors, "node").select("query", "node", "vector").unionAll(queries.select("query", F.lit(None).cast("long").alias("node"), "vector"))
+        measured = with_vectors.repartition("query").sortWithinPartitions("query").mapInArrow(measure, "query long, node long, score double")
         new = measured.withColumn("open", F.lit(True))
         rows = new if seen is None else seen.withColumn("open", F.col("open") & (F.col("r") > beam)).drop("r").unionAll(new)
         seen = write_table(rows.withColumn("r", F.row_number().over(best)), "seen")
@@ -225,17 +236,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
         fresh = write_table(fresh.join(seen.select("query", "node"), ["query", "node"], "left_anti"), "fresh")
         if fresh.isEmpty():
             break
-    last = seen.where(F.col("r") <= beam).select("query", "node")
-
-    def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                a, b = (batch.column(j).flatten().to_numpy().reshape(batch.num_rows, -1) for j in (2, 3))
-                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query", "node", "score"])
-
-    pairs = last.join(nodes.select("node", F.col("vector").alias("b")), "node").join(queries.select("query", F.col("vector").alias("a")), "query")
-    return pairs.select("query", "node", "a", "b").mapInArrow(exact, "query long, node long, score double")
+    return seen.select("query", "node", "score")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -245,13 +246,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     """
     nodes = write_table(nodes_of(vectors, id_col, vector_col, k + 1), "nodes")
     graph = build_graph(nodes)
-    ids = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    wanted = ids.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector"))
-    members = write_table(wanted.join(nodes.select("node", "vector"), "vector").select("id", "node"), "members")
+    wanted = _usable(vectors.where(is_query(F.col(id_col).cast("long"))), id_col, vector_col).select("id", _direction(F.col("vector")).alias("direction"))
+    members = write_table(wanted.join(nodes.select("node", "direction"), "direction").select("id", "node"), "members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", F.col("node").alias("start"))
     found = search(nodes, graph, asked, k)
     every = found.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "vec_id")
     lists = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
     lists = write_table(lists, "lists")
     own = members.join(lists, F.col("node") == F.col("query")).select("id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("list"))
