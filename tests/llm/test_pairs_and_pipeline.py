@@ -44,6 +44,26 @@ def test_pipeline_stages(spark):
     assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
 
 
+def test_sequences_follow_the_training_order(spark, tmp_path):
+    """Documents are numbered by training position; later files are larger, so a scan deals them first."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(40 * (1 + i // 100)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{tmp_path}/mixed")
+    stored = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(stored.inputFiles()) == 6
+    pieces = corpus_pipeline.pack(spark, stored, "").collect()
+    covered = {}
+    for p in pieces:
+        covered[p.doc_id] = covered.get(p.doc_id, 0) + p.length
+    assert covered == {p.doc_id: p.doc_tokens for p in pieces} and len(covered) == 600
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append(p.doc_id)
+    means = [sum(by[s]) / len(by[s]) for s in sorted(by)]
+    parts = [m // 100 for m in means]
+    assert parts == sorted(parts) and parts[0] == 0 and parts[-1] == 5
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     root = "/root/testdata/sf0.001"
     for t in ("documents", "labels"):

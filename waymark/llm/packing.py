@@ -11,11 +11,14 @@ So only documents at these seams are cut, and no task holds more than ``MAX_OPEN
 
 Rows: a null text is an empty one (the end id alone); a null ``doc_id`` is carried; repeated rows are packed
 each; an empty table gives no pieces; other columns are not looked at. Sequence ids are the task's number
-times 2^36 plus a counter, so a task that runs again gives the same ones.
+times 2^36 plus a counter, so a task that runs again gives the same ones. With ``stored_order`` a task's number
+tells nothing about the order of its rows (scans deal splits by size), so every split of a file is packed on its own
+and its ids begin with the file's place among the part files and the split's place in the file.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from waymark.llm.wordids import batches, encoder
 
 MAX_OPEN = 4096
+#: With ``stored_order``: bits of the counter, and of a split's place in its file (in MB; splits are larger) above them.
+COUNTER_BITS, PLACE_BITS = 30, 13
 
 
 class Packer:
@@ -124,15 +129,28 @@ class Packer:
             self._emit(into)
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def is_stored(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files as read, so that rows have a file and a place in it."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def _part_order(docs: DataFrame) -> dict[str, int]:
+    """The place of each file name in the order in which its writer numbered the files."""
+    names = {f.rsplit("/", 1)[-1] for f in docs.inputFiles()}
+    return {name: k for k, name in enumerate(sorted(names, key=lambda x: [int(n) if n.isdigit() else n for n in re.split(r"(\d+)", x)]))}
+
+
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and the ids.
 
     ``ids`` (little-endian unsigned 32-bit) is null without ``with_ids``. Every task packs the documents of
     its own input split, so nothing is shuffled and no source, however large, meets in one task.
+    ``stored_order``: ``docs`` is a stored table, and sequence ids follow the order of its part files.
     """
+    part = _part_order(docs) if stored_order else {}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 36)
+        encode, packer, split = encoder(path), Packer(window, TaskContext.get().partitionId() << 36), None
         tail = np.array([end_id], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:
@@ -149,7 +167,23 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
             ]
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in it:
+        def by_split(batch: pa.RecordBatch) -> Iterator[tuple[tuple | None, pa.RecordBatch]]:
+            if not stored_order:
+                yield None, batch
+                return
+            keys, a = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), 0
+            for b in range(1, len(keys) + 1):
+                if b == len(keys) or keys[b] != keys[a]:
+                    yield keys[a], batch.slice(a, b - a)
+                    a = b
+
+        for key, batch in (x for whole in it for x in by_split(whole)):
+            if key != split:
+                packer.settle()
+                if packer.done:
+                    yield flush()
+                split, (name, at) = key, key
+                packer = Packer(window, ((part[name] << PLACE_BITS) + (at >> 20)) << COUNTER_BITS)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
                 for d, ids in zip(doc_ids[a:b], encode.encode(texts[a:b]), strict=True):
@@ -160,5 +194,5 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         if packer.done:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *([F.col("_metadata.file_name"), F.col("_metadata.file_block_start")] if stored_order else []))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
