@@ -66,6 +66,14 @@ def test_near_copies_and_rescaled_copies(spark):
     assert got == {q: [i for i in range(6) if i != q][:5] for q in range(0, 5000, 500)}
 
 
+def test_recall_on_many_vectors(spark):
+    """At 20,000 rows a fixed number of rounds and a beam of 64 are not enough."""
+    old = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float64)
+    ids, x = np.arange(20_000), np.random.default_rng(20_000).multivariate_normal(old.mean(0), np.cov(old.T), 20_000)
+    out = nn_graph.nearest_neighbours(table_of(spark, ids, x), lambda i: i % 200 == 0)
+    assert recall(out, ids, x) >= 0.93
+
+
 def brute(docs, k, share):
     sets = {}
     for i, t in docs:

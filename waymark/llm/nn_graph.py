@@ -7,9 +7,13 @@ Build: nodes are sorted into blocks by the signs of random projections, a few ti
 takes its nearest ones in its blocks. Then, in rounds, each node introduces its neighbours (by forward and
 backward edges, the backward ones bounded by ``REVERSE`` smallest hashes) to each other: a Spark join brings the
 neighbours' vectors to the node, all pairs are measured there, and what beats a neighbour's own list goes to it.
-Rounds end when few lists change. Vectors travel as unit vectors in single precision, and ``near`` is half the squared
+Rounds end when few lists change, however many it takes. Vectors travel as unit vectors in single precision, and ``near`` is half the squared
 distance with a minus, summed in double precision: it tells near copies apart where their cosines all round to 1.
 
+Recall: a fixed sample of the queries is also measured against all vectors, block by block. While the search finds
+less than ``RECALL`` of the sample's true neighbours, its beam is doubled, and the lists too once the beam is
+32 times as long. The sample sets these two lengths only; all queries are searched in the same way.
+
 Search: a beam of the ``beam`` best nodes seen so far; each round expands those not expanded yet by a join with
 the graph, until none is left. All nodes seen are measured on the original vectors in double precision.
 Cosines equal to 14 digits are ties, of which the smallest id comes first.
@@ -34,10 +38,12 @@ NEIGHBOURS = 20
 REVERSE = 20
 BLOCK = 96
 PLANTINGS = 4
-ROUNDS = 8
 #: Rounds end when fewer than this share of all list places changed.
-SETTLED = 0.01
+SETTLED = 0.005
 BEAM = 64
+#: The share of true neighbours that the search must find for a fixed sample of queries, and the sample's size.
+RECALL = 0.95
+SAMPLE = 200
 ENTRIES = 64
 #: Below every ``near``.
 NOTHING = -9.0
@@ -175,8 +181,8 @@ def _shrink(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "vector").mapInArrow(run, "node long, small binary, codes array<long>")
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """``node, other, near``: about the k nearest others of each node. ``nodes``: a written table."""
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None = None) -> DataFrame:
+    """``node, other, near``: about the k nearest others of each node. ``nodes``: a written table; ``start``: a graph of shorter lists."""
     small = write_table(_shrink(nodes), "small")
     n = small.count()
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
@@ -184,10 +190,11 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     # Blocks that are too full are split by a hash of the node; what that parts, the rounds find.
     full = planted.groupBy("p", "code").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     blocks = planted.join(full, ["p", "code"]).withColumn("g", F.xxhash64("p", "code", F.pmod(F.xxhash64("node", "p"), F.col("parts"))))
-    graph = write_table(_nearest(_introduce(blocks.withColumn("floor", F.lit(NOTHING).cast("float")), k), k), "graph")
-    for _ in range(ROUNDS):
+    found = _introduce(blocks.withColumn("floor", F.lit(NOTHING).cast("float")), k)
+    graph = write_table(_nearest(found if start is None else found.unionAll(start), k), "graph")
+    while True:
         back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"))
-        reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE).select(F.col("other").alias("g"), "node")
+        reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= max(REVERSE, k)).select(F.col("other").alias("g"), "node")
         around = graph.select(F.col("node").alias("g"), F.col("other").alias("node")).unionAll(reverse).unionAll(small.select(F.col("node").alias("g"), "node")).distinct()
         floors = graph.groupBy("node").agg(F.min("near").alias("least"), F.count("*").alias("full"))
         known = small.select("node", "small").join(floors, "node", "left").select("node", "small", F.when(F.col("full") >= k, F.col("least")).otherwise(F.lit(NOTHING)).cast("float").alias("floor"))
@@ -195,14 +202,14 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         before, graph = graph, write_table(_nearest(graph.unionAll(found), k), "graph")
         changed = graph.join(before, ["node", "other"], "left_anti").count()
         if changed <= SETTLED * k * n:
-            break
-    return graph
+            return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """``query, node, score``: the nodes that each query has seen, with exact cosines. ``queries``: query, vector, start (a node or null).
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, seen: DataFrame | None = None) -> DataFrame:
+    """``query, node, score, open, r``: the nodes that each query has seen, with exact cosines. ``queries``: query, vector, start (a node or null).
 
     A query starts at the graph neighbours of ``start``; without one at ``ENTRIES`` fixed nodes.
+    ``seen``: what a search with a shorter beam on the same graph gave, to go on from.
     """
     beam = max(beam, k)
     queries = write_table(queries.select("query", "vector", "start"), "queries")
@@ -224,19 +231,69 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
             yield pa.RecordBatch.from_arrays([pa.array(query[rows]), pa.array([node[j] for j in rows], pa.int64()), pa.array(score[rows])], names=["query", "node", "score"])
 
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "node")
-    seen = None
+
+    def ahead(seen: DataFrame) -> DataFrame:
+        frontier = seen.where((F.col("r") <= beam) & F.col("open"))
+        near = frontier.select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
+        return write_table(near.join(seen.select("query", "node"), ["query", "node"], "left_anti"), "fresh")
+
+    if seen is not None:
+        fresh = ahead(seen)
+        if fresh.isEmpty():
+            return seen
     while True:
         with_vectors = fresh.join(vectors, "node").select("query", "node", "vector").unionAll(queries.select("query", F.lit(None).cast("long").alias("node"), "vector"))
         measured = with_vectors.repartition("query").sortWithinPartitions("query").mapInArrow(measure, "query long, node long, score double")
         new = measured.withColumn("open", F.lit(True))
         rows = new if seen is None else seen.withColumn("open", F.col("open") & (F.col("r") > beam)).drop("r").unionAll(new)
         seen = write_table(rows.withColumn("r", F.row_number().over(best)), "seen")
-        frontier = seen.where((F.col("r") <= beam) & F.col("open"))
-        fresh = frontier.select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
-        fresh = write_table(fresh.join(seen.select("query", "node"), ["query", "node"], "left_anti"), "fresh")
+        fresh = ahead(seen)
         if fresh.isEmpty():
-            break
-    return seen.select("query", "node", "score")
+            return seen
+
+
+def _true_scores(nodes: DataFrame, sample: list, k: int) -> dict[int, tuple[float, int]]:
+    """For each query of ``sample`` (query, vector) the cosine of its k-th nearest other node and k, or of the last there is and their number."""
+    ids, matrix = np.array([r["query"] for r in sample], np.int64), _unit(np.array([r["vector"] for r in sample], np.float64))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(ids), 0))
+        for batch in it:
+            if batch.num_rows:
+                near = matrix @ _unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)).T
+                near[ids[:, None] == batch.column(0).to_numpy()] = NOTHING
+                best = -np.sort(-np.concatenate([best, near], 1), axis=1)[:, :k]
+        for q, row in zip(ids, best, strict=True):
+            row = row[row > NOTHING]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), q)), pa.array(row)], names=["query", "score"])
+
+    found = nodes.select("node", "vector").mapInArrow(run, "query long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    least = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    return {r["query"]: (r["least"], r["n"]) for r in least.collect()}  # one row for each query of the sample
+
+
+def fitting_search(nodes: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """A graph and a beam with which the sample's recall is ``RECALL``."""
+    n, lists, beam = nodes.count(), NEIGHBOURS, max(BEAM, k)
+    graph = build_graph(nodes, lists)
+    sample = queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE).collect()
+    true = _true_scores(nodes, sample, k) if sample else {}
+    places = sum(m for _, m in true.values())
+    if not places:
+        return graph, beam
+    asked = nodes.sparkSession.createDataFrame(sample, queries.schema)
+    least = nodes.sparkSession.createDataFrame([(q, s) for q, (s, _) in true.items()], "query long, least double")
+    seen = None
+    while True:
+        seen = search(nodes, graph, asked, k, beam, seen)
+        hits = seen.where("node != query").join(F.broadcast(least), "query").where(F.col("score") >= F.col("least") - 1e-12).groupBy("query").agg(F.least(F.count("*"), F.lit(k)).alias("n")).agg(F.sum("n")).first()[0] or 0
+        if hits >= RECALL * places or (lists >= n and beam >= n):
+            return graph, beam
+        if beam >= 32 * lists:
+            lists, seen = 2 * lists, None
+            graph = build_graph(nodes, lists, graph)
+        beam *= 2
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -245,11 +302,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     Queries with one vector are searched once; each then leaves out its own row only.
     """
     nodes = write_table(nodes_of(vectors, id_col, vector_col, k + 1), "nodes")
-    graph = build_graph(nodes)
     wanted = _usable(vectors.where(is_query(F.col(id_col).cast("long"))), id_col, vector_col).select("id", _direction(F.col("vector")).alias("direction"))
     members = write_table(wanted.join(nodes.select("node", "direction"), "direction").select("id", "node"), "members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", F.col("node").alias("start"))
-    found = search(nodes, graph, asked, k)
+    graph, beam = fitting_search(nodes, asked, k)
+    found = search(nodes, graph, asked, k, beam)
     every = found.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node")
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "vec_id")
     lists = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
