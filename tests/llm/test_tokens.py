@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from waymark.llm import packing, token_counts, token_store
-from waymark.llm.wordids import Memo, WordIds, cuts_at_space, load
+from waymark.llm.pretokens import Memo, drops_space, keeps_blank
+from waymark.llm.wordids import WordIds, load
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -18,38 +19,60 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def words():
-    return WordIds(WORD, entries=50)  # generations change all the time
+    return WordIds(WORD, Memo(15_000))  # generations change all the time
 
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_counts.TokenCounter(BYTE)
+    return token_counts.TokenCounter(BYTE, token_counts.prove_whole_tokens(BYTE), Memo(15_000))
 
 
 def test_words_equal_library(words):
-    assert cuts_at_space(WORD) and not cuts_at_space(BYTE)
-    assert words.encode([t.encode() for t in ODD]) == words._whole(ODD)
+    assert drops_space(WORD) and not drops_space(BYTE) and keeps_blank(BYTE) and not keeps_blank(WORD)
+    raw = [t.encode() for t in ODD]
+    assert words.encode(raw) == words.whole(raw) and words.encode([]) == []
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_any_text_equals_library(words, counter, text):
-    assert words.encode([text.encode()]) == words._whole([text])
-    assert counter.count([text]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
+    both = [text.encode(), ODD[len(text) % len(ODD)].encode()]
+    assert words.encode(both) == words.whole(both)
+    assert counter.count([text.encode()]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
 
 
 def test_whole_tokens_are_proven(counter):
     some = sorted(counter.whole)[:: len(counter.whole) // 500]
-    assert all(len(e.ids) == 1 for e in counter.tokenizer.encode_batch(some, add_special_tokens=False))
-    assert counter.count(ODD) == [len(e.ids) for e in counter.tokenizer.encode_batch(ODD, add_special_tokens=False)]
+    assert all(len(e.ids) == 1 for e in counter.tokenizer.encode_batch([t.decode() for t in some], add_special_tokens=False))
+    assert counter.count([t.encode() for t in ODD]) == [len(e.ids) for e in counter.tokenizer.encode_batch(ODD, add_special_tokens=False)]
 
 
-def test_memo_keeps_two_generations():
-    memo, seen = Memo(3), []
-    double = lambda ks: seen.extend(ks) or [2 * k for k in ks]
-    for keys in ([1, 2], [1, 3], [4, 5, 1], [2, 1]):
-        assert memo.look_up([keys], double) == [[2 * k for k in keys]]
-    assert len(memo.young) <= 6
+PARTS = ["'s", "'", "'re", "it's", "ll", "L'ÉTÉ", " ", "  ", "\n", "\t ", "a", "Zz", "7", "42", "!?", "é", "İ", "ŉſ", "×", "e\u0301", "\x07", "日本", "\xa0", "<|", "<|endoftext|>", "…"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=6))
+def test_batches_equal_library(words, counter, texts):
+    raw = [t.encode() for t in texts]
+    assert words.encode(raw) == words.whole(raw)
+    assert counter.count(raw) == [len(e.ids) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_megabytes_without_a_blank(words, counter):
+    for text in ("abcdefghij" * 500_000, "0123456789+/" * 400_000, "日本語" * 100_000):
+        raw = text.encode()
+        assert words.encode([b"a", raw, b"b"])[1] == words.whole([raw])[0]
+        assert counter.count([raw]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert all(len(k) <= Memo.LONGEST for m in (words.memo, counter.memo) for k in (*m.young, *m.old))
+
+
+def test_memo_is_bounded():
+    memo, seen = Memo(3 * (Memo.ENTRY + 1)), []
+    twice = lambda ks: seen.extend(ks) or [2 * k for k in ks]
+    for keys in (["a", "b"], ["a", "c"], ["d", "e", "a"], ["b", "a"], ["x" * 65], ["x" * 65]):
+        assert memo.look_up(keys, twice) == [2 * k for k in keys]
+        assert len(memo.young) <= 3 and len(memo.old) <= 3
+    assert seen.count("x" * 65) == 2 and seen.count("a") == 1
 
 
 def test_count_rows(spark):

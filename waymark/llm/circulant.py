@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.pretokens import batches
 from waymark.llm.scratch import write_table
-from waymark.llm.wordids import batches
 
 CIRCLE = 1 << 20
 ROWS, BANDS = 7, 36

@@ -10,7 +10,8 @@ of the emptiest windows are cut to fill the fullest. The last one is split by po
 So only documents at these seams are cut, and no task holds more than ``MAX_OPEN`` open windows.
 
 Rows: a null text is an empty one (the end id alone); a null ``doc_id`` is carried; repeated rows are packed
-each; an empty table gives no pieces; other columns are not looked at. Sequence ids are the task's number
+each; a very long text is cut into full windows, however many; an empty table gives no pieces; other columns are not
+looked at. Two runs over the same files with the same settings give the same pieces. Sequence ids are the task's number
 times 2^36 plus a counter, so a task that runs again gives the same ones. With ``stored_order`` a task's number
 tells nothing about the order of its rows (scans deal splits by size), so every split of a file is packed on its own
 and its ids begin with the file's place among the part files and the split's place in the file.
@@ -28,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.wordids import batches, encoder
+from waymark.llm.pretokens import batches
+from waymark.llm.wordids import encoder
 
 MAX_OPEN = 4096
 #: With ``stored_order``: bits of the counter, and of a split's place in its file (in MB; splits are larger) above them.
@@ -140,17 +142,18 @@ def _part_order(docs: DataFrame) -> dict[str, int]:
     return {name: k for k, name in enumerate(sorted(names, key=lambda x: [int(n) if n.isdigit() else n for n in re.split(r"(\d+)", x)]))}
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, max_open: int = MAX_OPEN, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and the ids.
 
     ``ids`` (little-endian unsigned 32-bit) is null without ``with_ids``. Every task packs the documents of
     its own input split, so nothing is shuffled and no source, however large, meets in one task.
     ``stored_order``: ``docs`` is a stored table, and sequence ids follow the order of its part files.
+    ``max_open`` bounds a task's memory: with fewer open windows more documents are cut at their seams.
     """
     part = _part_order(docs) if stored_order else {}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, split = encoder(path), Packer(window, TaskContext.get().partitionId() << 36), None
+        encode, packer, split = encoder(path), Packer(window, TaskContext.get().partitionId() << 36, max_open), None
         tail = np.array([end_id], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:
@@ -183,7 +186,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
                 if packer.done:
                     yield flush()
                 split, (name, at) = key, key
-                packer = Packer(window, ((part[name] << PLACE_BITS) + (at >> 20)) << COUNTER_BITS)
+                packer = Packer(window, ((part[name] << PLACE_BITS) + (at >> 20)) << COUNTER_BITS, max_open)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
                 for d, ids in zip(doc_ids[a:b], encode.encode(texts[a:b]), strict=True):

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.pretokens import batches
 from waymark.llm.scratch import write_table
-from waymark.llm.wordids import batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64

@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.pretokens import batches
 from waymark.llm.scratch import write_table
-from waymark.llm.wordids import batches, encoder
+from waymark.llm.wordids import encoder
 
 #: Ids per word and bits per id of selectors 1 to 14; selector 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -155,7 +156,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, text_col: str = "text
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash spreads rows that repeat an id, or have none, over ranges of their own.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     return write_table(ordered.mapInArrow(run, STORE_SCHEMA), "ids")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.wordids import Memo, batches
+from waymark.llm.pretokens import Memo, batches
 
 #: Bound of the fit: clean and toxic labelled documents, those with the smallest hashes.
 SAMPLE_DOCS = (2000, 1000)
@@ -270,15 +270,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs:
 
 class Tagger:
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(300_000)
+        self.model, self.memo = model, Memo()
 
     def __call__(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
         model = self.model
         if model.curve is None:
             return [(0.0, [])] * len(texts)
-        lists = self.memo.look_up([TOKEN.findall(t) for t in texts], lambda ws: list(map(model.emission, ws)))
-        sizes = np.array([len(x) for x in lists], np.int64)
-        odds = np.array([v for x in lists for v in x])
+        lists = [TOKEN.findall(t) for t in texts]
+        distinct = list(dict.fromkeys(w for ws in lists for w in ws))
+        factor = dict(zip(distinct, self.memo.look_up(distinct, lambda ws: list(map(model.emission, ws))), strict=True))
+        sizes = np.array([len(ws) for ws in lists], np.int64)
+        odds = np.fromiter((factor[w] for ws in lists for w in ws), float, int(sizes.sum()))
         first = np.zeros(len(odds), bool)
         ends = np.cumsum(sizes)
         first[(ends - sizes)[sizes > 0]] = True

@@ -1,23 +1,20 @@
-"""Whole-text token ids from a tokenizers file, with repeated words encoded once per worker.
+"""Whole-text token ids from a tokenizers file, each distinct pre-token of a batch encoded once.
 
-The public files this is for never let a pre-token cross ASCII white space, so a text's ids are the ids of
-its space-separated chunks in order. ``cuts_at_space`` checks a file for that; other files get whole texts.
+Texts of a batch are cut into pre-tokens together, dictionary-encoded in Arrow, and the ids of the distinct ones are
+gathered to their places in numpy; only pre-tokens that no earlier batch had go to the library. That is for files
+that cut as ``pretokens.drops_space`` says; with other files, and for texts that hold a special string, the library
+gets whole texts.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries of one generation of the memo; two generations are held, some 200 bytes an entry.
-MEMO_ENTRIES = 300_000
-
-#: One run of lower-case Latin letters and at most one mark: one or two pre-tokens for certain.
-PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
+from waymark.llm.pretokens import CERTAIN_LOWER, Memo, Merger, cut, drops_space, whole_ids
 
 
 def load(path: str):
@@ -28,109 +25,48 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def byte_alphabet() -> dict[int, str]:
-    """Byte-level BPE's printable stand-in for each byte, as a table for ``str.translate`` on Latin-1 text."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-def cuts_at_space(path: str) -> bool:
-    """Whether the file's first step keeps only pieces that hold no white space."""
-    with open(path, encoding="utf-8") as f:
-        steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    pattern = steps[0].get("pattern", {}).get("Regex", "")
-    kept = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
-    return bool(kept) and not re.search(r"(?<!\^)\\s| |\\S|\.|\\n", pattern)
-
-
-class Memo:
-    """A dictionary of bounded size: when the young generation is full it becomes the old one."""
-
-    def __init__(self, entries: int = MEMO_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
-
-    def look_up(self, lists: list[list], compute) -> list[list]:
-        """The value of every key of every list; ``compute`` gets each key once that neither generation has."""
-        get = self.young.get
-        found = [list(map(get, keys)) for keys in lists]
-        missing = {k for keys, vs in zip(lists, found, strict=True) if None in vs for k, v in zip(keys, vs, strict=True) if v is None}
-        if not missing:
-            return found
-        fresh = {k: v for k in missing if (v := self.old.get(k)) is not None}
-        todo = [k for k in missing if k not in fresh]
-        fresh.update(zip(todo, compute(todo), strict=True))
-        if len(self.young) + len(fresh) > self.entries:
-            self.old, self.young = self.young, {}
-        self.young.update(fresh)
-        return [
-            [fresh[k] if v is None else v for k, v in zip(keys, vs, strict=True)] if None in vs else vs
-            for keys, vs in zip(lists, found, strict=True)
-        ]
-
-
 class WordIds:
     """Encodes batches of UTF-8 texts into little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
-        self.tokenizer = load(path)
-        self.model = self.tokenizer.model
-        self.by_chunk = cuts_at_space(path)
+    def __init__(self, path: str, memo: Memo | None = None):
+        self.tokenizer, self.memo = load(path), memo or Memo()
+        self.by_piece, self.merge = drops_space(path), Merger(self.tokenizer, CERTAIN_LOWER)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.alphabet, self.memo, self.pieces = byte_alphabet(), Memo(entries), Memo(entries // 3)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _piece(self, words: list[str]) -> list[bytes]:
-        """Single pre-tokens that normalisation leaves as they are go straight to the file's BPE model."""
-        tokenize, table = self.model.tokenize, self.alphabet
-        return [
-            b"".join(t.id.to_bytes(4, "little") for t in tokenize(w.encode().decode("latin-1").translate(table)))
-            for w in words
-        ]
-
-    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(chunks)
-        plain, rest = [], []
-        for k, c in enumerate(chunks):
-            s = c.decode("utf-8", "replace")
-            if m := PLAIN(s):
-                plain.append((k, *m.groups()))
-            else:
-                rest.append((k, s))
-        found = self.pieces.look_up([[w for w in pair if w] for _, *pair in plain], self._piece)
-        for (k, *_), ids in zip(plain, found, strict=True):
-            out[k] = b"".join(ids)
-        for (k, _), ids in zip(rest, self._whole([s for _, s in rest]), strict=True):
-            out[k] = ids
-        return out
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in whole_ids(self.tokenizer, texts)]
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in self.merge(pieces)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each whole text, as bytes."""
-        if not self.by_chunk:
-            return self._whole([t.decode("utf-8", "replace") for t in texts])
-        lists = []
-        for t in texts:
-            # ASCII capitals only: the file lower-cases anyway, but a capitalised special string is no special token
-            lists.append((t if b"<|" in t or any(s in t for s in self.special) else t.lower()).split())
-        return [b"".join(ids) for ids in self.memo.look_up(lists, self._chunks)]
+        if not self.by_piece:
+            return self.whole(texts)
+        # ASCII capitals only: the file lower-cases anyway, but a capitalised special string is no special token
+        low = [t.lower() for t in texts]
+        odd = [k for k, t in enumerate(low) if b"<|" in t or any(s in t for s in self.special)]
+        for k in odd:
+            low[k] = b""
+        pieces, bounds = cut(low, with_blank=False)
+        coded = pieces.dictionary_encode()
+        values = self.memo.look_up(coded.dictionary.to_pylist(), self._merged)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        begins = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(begins[which] - ends[:-1], counts) + np.arange(ends[-1])]
+        at = ends[bounds].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+        if odd:
+            for k, v in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
+                out[k] = v
+        return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordIds:
     """One encoder for each file in a worker process, kept across its tasks."""
     return WordIds(path)
-
-
-def batches(texts: list[bytes], most_bytes: int = 4_000_000):
-    """Slices of a column, as (first, last), of bounded text size (one text at least)."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most_bytes:
-            yield start, k
-            start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
