@@ -133,11 +133,26 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(circulant.signature(a, 252) == circulant.signature(b, 252)) - true) < 0.1
 
 
-def test_trees_are_shallow():
-    for n in (1, 2, 65, 3000):
-        group, joined = np.random.default_rng(n).choice(10**12, n, replace=False).astype(np.int64), circulant.Joiner()
-        edges = list(circulant.tree(group))
-        for a, b in edges:
-            joined.join(a, b)
-        assert n == 1 or len({joined.find(int(x)) for x in group}) == 1
-        assert max(np.unique(np.array(edges or [(0, 1)]), return_counts=True)[1]) < 4 * circulant.FAN_OUT
+def test_roots_equal_union_find(spark):
+    rng = np.random.default_rng(8)
+    star = [(5_000, int(x)) for x in rng.choice(9_000, 300, replace=False)]
+    paths = [(10_000 + i, 10_001 + i) for i in range(200)] + [(int(a), int(b)) for a, b in zip(*(lambda p: (p, p[1:]))(20_000 + rng.permutation(300)), strict=False)]
+    two = [(30_000 + 2 * i, 30_002 + 2 * i) for i in range(60)] + [(30_001 + 2 * i, 30_003 + 2 * i) for i in range(60)] + [(30_120, 30_121), (30_120, 30_120)]
+    mixed = [tuple(map(int, x)) for x in 40_000 + rng.integers(0, 500, (450, 2))]
+    edges = star + paths + two + mixed + [(-3, 7), (7, -3)]
+    joined = circulant.Joiner()
+    for a, b in edges:
+        joined.join(a, b)
+    want = {x: joined.find(x) for x in joined.up}
+    got = {r.node: r.root for r in circulant.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: r for x, r in want.items() if x != r}
+    assert circulant.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_document_with_several_texts(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a, 0), (3, a, 0), (3, b, 1), (4, b, 2), (4, None, 2), (9, "x y z", 3), (9, "x y z", 4)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, node int").repartition(3)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in circulant.near_duplicates(df, 3, (85, 100)).collect())
+        assert got == [(1, 6, 1, True), (3, 6, 1, False), (3, 6, 1, False), (4, 0, 4, True), (4, 6, 1, False), (9, 1, 9, True), (9, 1, 9, True)]

@@ -8,19 +8,20 @@ minimum over rows of a sliding window.
 
 Steps, each a Spark job over written tables in the shared folder:
 
-1. ``signatures``: one pass over the texts. Equal sets share a node; only one document a node goes on.
+1. ``signatures``: one pass over the texts. Equal sets share a node; only one row of a node goes on.
 2. ``candidates``: (band, node) rows are range-sorted by both, so a frequent band is spread over tasks. A task
-   joins equal neighbours in a union-find and gives a tree of bounded degree for each of its components; the
-   ends of neighbouring ranges are joined as well. ``components`` propagates minima along these edges.
+   joins equal neighbours in a union-find and gives one edge for each member of its components, to the smallest
+   one; the ends of neighbouring ranges are joined as well. ``roots`` contracts these edges.
 3. ``verify``: candidate clusters meet in blocks of at most about ``BLOCK_DOCS`` texts, where exact
    intersections of all pairs not yet joined are counted. Clusters of several blocks are dealt once more by another
    hash, which joins what belongs together, and then each document outside the largest component is held
    against all blocks. No pair of a cluster stays unchecked, and no task gets more than two blocks.
-4. ``components`` over the confirmed links, with the smallest ``doc_id`` as label.
+4. ``roots`` of the confirmed links, each component named by its smallest ``doc_id``.
 
 Rows: null, empty and blank texts have an empty set and are linked with nothing; a null ``doc_id`` is linked
-with nothing either and has a null component; rows that repeat an id share its component; an empty table gives
-no rows; other columns are not looked at.
+with nothing either and has a null component; rows that repeat an id are one document, so what any of them is
+linked with is one component, which all of them (but those of an empty set) share; a very long text is one set
+like any other; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ from waymark.llm.scratch import write_table
 CIRCLE = 1 << 20
 ROWS, BANDS = 7, 36
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
-FAN_OUT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, node, keys``; node and keys are null for an empty set or a null id."""
+    """``doc_id, text_key, n_shingles, node, keys``; node and keys are null for an empty set or a null id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -158,11 +158,16 @@ def signatures(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS, te
                 node, key = [None] * len(sets), [None] * len(sets)
                 for j, v in zip(live, keys, strict=True):
                     node[j], key[j] = node_of(sets[j]), v
-                cols = [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(key, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "keys"])
+                cols = [batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(key, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_shingles", "node", "keys"])
 
+    return _texts(docs, text_col, id_col).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, keys array<long>")
+
+
+def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """``doc_id, text, text_key``: the two that name a row's text, whatever rows repeat its id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 class Joiner:
@@ -185,33 +190,11 @@ class Joiner:
         self.up[max(a, b)] = min(a, b)
         return True
 
-    def trees(self) -> Iterator[tuple]:
-        """Edges that join every component of integers; see ``tree``."""
-        members: dict = {}
-        for x in self.up:
-            members.setdefault(self.find(x), []).append(x)
-        for group in members.values():
-            yield from tree(np.array(group, np.int64))
-
-
-def tree(group: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a shallow tree over distinct integers, about ``FAN_OUT`` at a member.
-
-    Who joins whom depends on the members' hashes alone: each goes to a hub that its own hash picks from those
-    with small hashes. So tasks that see much the same component give much the same edges, and few are left once
-    equal ones are merged. The hubs are joined in the same way.
-    """
-    while len(group) > 1:
-        hubs = 1 << max(0, (len(group) - 1) // FAN_OUT).bit_length()
-        with np.errstate(over="ignore"):
-            rank = mix(group.view(np.uint64))
-            pool = group[np.argsort(rank, kind="stable")[: 4 * hubs]]
-            salts = _stream(41, hubs)
-            best = np.array([pool[np.argmin(mix(pool.view(np.uint64) ^ salt))] for salt in salts], np.int64)
-        mine = best[(rank % np.uint64(hubs)).astype(np.int64)]
-        yield from zip(mine[mine != group].tolist(), group[mine != group].tolist(), strict=True)
-        # A hub is also a member that went to a hub; only the hubs go on.
-        group = np.unique(best) if hubs > 1 else group[:0]
+    def stars(self) -> Iterator[tuple]:
+        """One edge for each member of a component, to its root."""
+        for x in list(self.up):
+            if (r := self.find(x)) != x:
+                yield x, r
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -234,7 +217,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             last_key, last_node = int(key[-1]), int(node[-1])
         if last_key is not None:
             ends.append((last_key, last_node))
-        rows = [(a, b, None, None) for a, b in joined.trees()] + [(n, None, k, 2 * part + j) for j, (k, n) in enumerate(ends)]
+        rows = [(a, b, None, None) for a, b in joined.stars()] + [(n, None, k, 2 * part + j) for j, (k, n) in enumerate(ends)]
         for s in range(0, len(rows), 10_000):
             cols = zip(*rows[s : s + 10_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "key", "place"])
@@ -247,21 +230,53 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.where("place is null").select("a", "b").unionAll(cuts.where("same and a <> b").select("a", "b"))
 
 
-def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``node, label``: the smallest label that reaches each node of ``labels`` along ``edges`` (a, b).
+def _jump(parents: DataFrame) -> DataFrame:
+    """``node, root`` from ``node, root`` where a root may itself be a node: the distance to go halves each round."""
+    now = parents
+    while True:
+        on = now.select(F.col("node").alias("at"), F.col("root").alias("next"))
+        moved = now.join(on, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root"), F.col("at").isNotNull().alias("moved"))
+        moved = write_table(moved, "jump")
+        if moved.where("moved").isEmpty():
+            return now
+        now = moved.select("node", "root")
+
 
-    Every round each node takes the least of its own and its neighbours' labels; it ends when none changes.
-    Labels move through whole components in few rounds, since the edges are shallow trees.
+def _between(pairs: DataFrame) -> DataFrame:
+    """Distinct edges ``a, b`` with a > b from pairs ``x, y``."""
+    return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node that each node reaches along ``edges`` (a, b); roots themselves are left out.
+
+    Contraction: every node goes to its smallest lower neighbour, and these steps are followed to their ends. Its
+    other lower neighbours are then joined with that one, named by their ends; only these edges, mostly equal to each
+    other or loops, go on to the next round. Node names are hashes, so what is left falls geometrically.
     """
-    both = write_table(edges.unionAll(edges.select("b", "a")).distinct(), "both")
-    now, total = write_table(labels.select("node", "label"), "labels"), None
+    left, found = write_table(_between(edges.select(F.col("a").alias("x"), F.col("b").alias("y"))), "edges"), None
     while True:
-        heard = both.join(now, both.a == now.node).select(F.col("b").alias("node"), "label")
-        now = write_table(heard.unionAll(now).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        told = now.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
-        if told == total:
-            return now
-        total = told
+        lower = write_table(left.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")), "lower")
+        other = left.join(lower.where("least < most"), "a").where("b > least").select(F.col("b").alias("x"), F.col("least").alias("y")).distinct()
+        ends = _jump(lower.select(F.col("a").alias("node"), F.col("least").alias("root")))
+        for c in ("x", "y"):
+            named = ends.select(F.col("node").alias("at"), F.col("root").alias("end"))
+            other = other.join(named, F.col(c) == F.col("at"), "left").withColumn(c, F.coalesce("end", c)).drop("at", "end")
+        left = write_table(_between(other), "edges")
+        if found is None:
+            found = ends
+        else:
+            on = ends.select(F.col("node").alias("at"), F.col("root").alias("next"))
+            further = found.join(on, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root"))
+            found = write_table(further.unionAll(ends), "found")  # a node of a later round is a root of the earlier ones
+        if left.isEmpty():
+            return found
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, label`` of all ``nodes`` (node): the smallest node that each reaches along ``edges``."""
+    found = roots(edges).select(F.col("node").alias("at"), "root")
+    return write_table(nodes.join(found, F.col("node") == F.col("at"), "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
 
 
 def links_in_block(sets: list[np.ndarray], comps: list, left: np.ndarray, right: np.ndarray, share: tuple[int, int]) -> Joiner:
@@ -295,32 +310,33 @@ def _check_blocks(rows: DataFrame, by: list[str], k: int, share: tuple[int, int]
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A repeated id can bring a text that is not the node's; equal nodes are one.
         sets = shingle_sets([bytes(t) for t in pdf["text"]], k)
         keep, seen = [], {}
         left, right = pdf["is_left"].to_numpy(bool).copy(), pdf["is_right"].to_numpy(bool).copy()
-        for j, (n, s) in enumerate(zip(pdf["node"].tolist(), sets, strict=True)):
+        for j, n in enumerate(pdf["node"].tolist()):
             if n in seen:
                 left[seen[n]] |= left[j]
                 right[seen[n]] |= right[j]
-            elif len(s) and node_of(s) == n:
+            else:
                 seen[n] = j
                 keep.append(j)
         comps = pdf["comp"].tolist()
         joined = links_in_block([sets[j] for j in keep], [comps[j] for j in keep], left[keep], right[keep], share)
-        return pd.DataFrame(list(joined.trees()), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(list(joined.stars()), columns=["a", "b"], dtype="int64")
 
     return rows.groupBy(*by).applyInPandas(run, "a long, b long")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, share: tuple[int, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Confirmed links ``a, b`` between nodes. ``nodes``: node, rep, n_shingles; ``clusters``: node, label."""
-    members = clusters.join(nodes.select("node", "rep", "n_shingles"), "node")
+    """Confirmed links ``a, b`` between nodes. ``nodes``: node, rep, rep_key, n_shingles; ``clusters``: node, label."""
+    members = clusters.join(nodes.select("node", "rep", "rep_key", "n_shingles"), "node")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     large = write_table(sizes.where("blocks > 1"), "large")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    dealt = members.join(large, "label", "left").select("label", "node", "rep", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    held = write_table(dealt.join(texts, "rep").drop("rep"), "texts")
+    dealt = write_table(members.join(large, "label", "left").select("label", "node", "rep", "rep_key", F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
+    texts = _texts(docs, text_col, id_col).withColumnsRenamed({"doc_id": "rep", "text_key": "rep_key"})
+    # Rows that repeat both id and text become one before they meet their node.
+    texts = texts.join(dealt.select("rep", "rep_key"), ["rep", "rep_key"], "left_semi").groupBy("rep", "rep_key").agg(F.first("text").alias("text"))
+    held = write_table(dealt.join(texts, ["rep", "rep_key"]).drop("rep", "rep_key"), "texts")
     whole = [F.lit(True).alias("is_left"), F.lit(True).alias("is_right")]
 
     def block(salt: int):
@@ -330,10 +346,10 @@ def verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, share
     big = held.where("blocks > 1")
     if big.isEmpty():
         return first
-    comps = components(first, big.select("node", F.col("node").alias("label")).distinct())
+    comps = components(first, big.select("node").distinct())
     named = write_table(big.join(comps.select("node", F.col("label").alias("comp")), "node"), "named")
     second = write_table(_check_blocks(named.select("label", block(2), "node", "comp", "text", *whole), ["label", "block2"], k, share), "links")
-    merged = components(second, comps.select(F.col("label").alias("node"), "label").distinct())
+    merged = components(second, comps.select(F.col("label").alias("node")).distinct())
     named = write_table(named.join(merged.select(F.col("node").alias("comp"), F.col("label").alias("now")), "comp").drop("comp"), "named")
     counts = named.groupBy("label", "now").agg(F.countDistinct("node").alias("n"), F.max("blocks").alias("blocks"))
     per = counts.groupBy("label").agg(F.max(F.struct("n", "now"))["now"].alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
@@ -359,16 +375,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     """
     marked = write_table(signatures(docs, k, rows, bands, text_col, id_col), "signatures")
     known = marked.where("node is not null")
-    nodes = write_table(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "nodes")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    nodes = known.groupBy("node").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    nodes = write_table(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "n_shingles", "keys", "copies"), "nodes")
     edges = write_table(candidates(nodes.select("node", "keys")), "candidates")
-    ends = edges.select("a").unionAll(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label"))
-    clusters = components(edges, ends)
-    links = write_table(verify(docs, nodes, clusters, k, share, text_col, id_col), "confirmed")
-    linked = links.select("a").unionAll(links.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).select("node", F.col("rep").alias("label"))
-    found = components(links, linked)
+    clusters = components(edges, edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct())
+    links = verify(docs, nodes, clusters, k, share, text_col, id_col)
+    # The sets of rows that repeat an id belong to one document.
+    repeated = known.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+    same_id = known.join(repeated, "doc_id").where("node > b").select(F.col("node").alias("a"), "b")
+    found = roots(links.unionAll(same_id)).select(F.col("node").alias("of"), "root")
+    named = write_table(nodes.select("node", "rep", "copies").join(found, F.col("node") == F.col("of"), "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("nodes"))
     # One row for each node that is more than a single document; documents of one node may be very many.
-    groups = nodes.join(found, "node", "left").where("copies > 1 or label is not null").select(F.col("node").alias("of"), F.coalesce("label", "rep").alias("component"))
-    groups = write_table(groups, "groups")
+    groups = write_table(named.join(least, "root").where("copies > 1 or nodes > 1").select(F.col("node").alias("of"), "component"), "groups")
     out = marked.select("doc_id", "n_shingles", "node").join(groups, F.col("node") == F.col("of"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
