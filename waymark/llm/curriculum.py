@@ -5,18 +5,20 @@
    hand what is over to the others by weight: the water level that fits is found from the sources in order of
    cap over weight.
 3. A source's documents stand in a fixed pseudo-random order (md5 of the id). A document at words [c, c + n)
-   of its source of S words is read in every epoch e whose [e S + c, e S + c + n) lies below the target; the
-   one document that a target cuts gives only its first words, so a source's words meet its target exactly.
+   of its source of S words is read in every epoch e whose [e S + c, e S + c + n) lies below the target; of the
+   one document that a target cuts, ``plan_mix`` takes so many words that the source meets its target exactly, and
+   ``mix``, whose texts stay whole, takes it if that is nearer to the target than leaving it out.
 4. Each weight class has a schedule: a piecewise-linear rate over training time 0 to 1. Its integral, scaled
    to the target, is the source's cumulative token demand; inverting it at the middle of a read gives the
-   read's training position. Documents are range-sorted by position.
+   read's training position. Documents are range-sorted by position, ``mix`` over fixed slices of the time, so
+   that two runs write the same files.
 
 The sum over a source runs in two steps, over 4096 hash buckets of the source and within each, so a source
 that holds a third of all rows is spread over thousands of groups. The tables of sources, and of the buckets
 of a source, are small at any size of the corpus.
 
 Rows: null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
-a null ``doc_id`` is ordered like the others; equal rows each count; sources of size 0 have target 0; an empty
+rows with a null ``doc_id`` are ordered by their text; a very long text is a document like the others; equal rows each count; sources of size 0 have target 0; an empty
 table gives no rows; extra columns, whatever their names, are carried by ``mix`` and ignored by ``plan_mix``.
 """
 
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.scratch import write_table
+
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: For each weight the rate at training time 0, 1/2 and 1: heavy sources fade, light ones come late.
@@ -86,13 +90,19 @@ def position(share: Column, knots) -> Column:
     return out
 
 
-def _planned(docs: DataFrame, weights, schedules, max_repeats: int, text_col: str, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with the operator's columns: size, source_size, target, and ``reads`` (taken, position)."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
-    rows = docs.withColumns({f"{P}size": words(F.col(text_col)), f"{P}source": F.col(source_col), f"{P}key": key, f"{P}id": F.col(id_col)})
-    rows = rows.withColumn(f"{P}bucket", F.substring(f"{P}key", 1, BUCKET_DIGITS))
-    # Only sizes and keys are read for the sums.
-    buckets = rows.groupBy(f"{P}source", f"{P}bucket").agg(F.sum(f"{P}size").alias("bucket_size"))
+def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    """``docs`` with size, source, order key, id and hash bucket. Of null ids the text decides order and bucket."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = docs.withColumns({f"{P}size": words(F.col(text_col)), f"{P}source": F.col(source_col), f"{P}key": F.md5(name.cast("binary")), f"{P}id": F.col(id_col)})
+    return rows.withColumn(f"{P}bucket", F.substring(f"{P}key", 1, BUCKET_DIGITS))
+
+
+def _bucket_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(f"{P}source", f"{P}bucket").agg(F.sum(f"{P}size").alias("bucket_size"))
+
+
+def _planned(rows: DataFrame, buckets: DataFrame, weights, schedules, max_repeats: int) -> DataFrame:
+    """``rows`` of ``_sized`` with the operator's columns: source_size, target, and ``reads`` (taken, position)."""
     targets = source_targets(buckets.groupBy(F.col(f"{P}source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats)
     earlier = Window.partitionBy(f"{P}source").orderBy(f"{P}bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(f"{P}source", f"{P}bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias(f"{P}before"))
@@ -123,7 +133,8 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats:
     ``doc_id, size, source_size, target, taken, position, reads``. Texts are counted and dropped in the scan.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = _planned(narrow, weights, schedules, max_repeats, "text", "doc_id", "source").select(
+    sized = _sized(narrow, "text", "doc_id", "source")
+    rows = _planned(sized, _bucket_sizes(sized), weights, schedules, max_repeats).select(
         "doc_id",
         F.col(f"{P}size").alias("size"),
         F.col(f"{P}source_size").alias("source_size"),
@@ -136,16 +147,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+#: ``mix`` writes slices of about so many words, and at most so many slices.
+SLICE_WORDS, MOST_SLICES = 2_000_000, 100_000
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, one row for each read, range-sorted by training position.
+    """The mixed corpus: the columns of ``docs``, one row of a whole text for each read, range-sorted by training position.
 
-    A read that the target cuts holds the first of its document's words, with the white space before them.
+    The sizes of buckets, a small table, are written first; slices of equal length in time follow from their total.
     """
-    rows = _planned(docs, weights, schedules, max_repeats, text_col, id_col, source_col)
-    rows = rows.withColumn(f"{P}read", F.explode(f"{P}reads"))
-    taken = F.col(f"{P}read")["taken"]
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), taken.cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(taken < F.col(f"{P}size"), first).otherwise(F.col(text_col)))
-    order = [F.col(f"{P}read")["position"].alias("p"), F.col(f"{P}id")]
-    rows = rows.withColumn(f"{P}position", order[0])
-    return rows.repartitionByRange(f"{P}position", f"{P}id").sortWithinPartitions(f"{P}position", f"{P}id").select(*docs.columns)
+    sized = _sized(docs, text_col, id_col, source_col)
+    buckets = write_table(_bucket_sizes(sized), "buckets")
+    total = buckets.agg(F.sum("bucket_size")).first()[0] or 0
+    slices = min(MOST_SLICES, max(1, -(-total // SLICE_WORDS)))
+    rows = _planned(sized, buckets, weights, schedules, max_repeats)
+    rows = rows.withColumn(f"{P}read", F.explode(F.filter(f"{P}reads", lambda r: 2 * r["taken"] >= F.col(f"{P}size"))))
+    rows = rows.withColumn(f"{P}position", F.col(f"{P}read")["position"])
+    at = F.least(F.floor(F.col(f"{P}position") * slices), F.lit(slices - 1)).cast("int")
+    return rows.repartitionById(slices, at).sortWithinPartitions(f"{P}position", f"{P}id", f"{P}key").select(*docs.columns)

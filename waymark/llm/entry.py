@@ -28,7 +28,7 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.plan_mix(table(spark, sf_dir, "documents")).drop("reads", "position")
+    return curriculum.plan_mix(table(spark, sf_dir, "documents")).drop("reads")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,23 +99,31 @@ from q group by 1
 """,
     "op3_mix_sources": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                  md5(coalesce(doc_id::varchar, 'null')) as k
+                  md5(coalesce(doc_id::varchar, 'null' || coalesce(text, ''))) as k
            from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
-w as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last)) - 1) % 3 + 1] as w from s),
+w as (select *, ((row_number() over (order by source nulls last)) - 1) % 3 as class, [5.0::double, 2.0::double, 1.0::double][class + 1] as w from s),
 r as (select *, (3 * source_size)::double as cap, (3 * source_size)::double / w as ratio from w),
 l as (select *, (sum(source_size) over ())::double as total, sum(w) over () as all_w,
              coalesce(sum(cap) over o, 0) as capped, coalesce(sum(w) over o, 0) as capped_w
       from r window o as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
 v as (select *, (total - capped) / (all_w - capped_w) as lv from l),
-t as (select source, source_size, least(cap, coalesce((select arg_min(lv, (ratio, source)) from v where lv <= ratio), 0) * w) as target from v),
-c as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::bigint as goal,
+t as (select source, source_size, class, least(cap, coalesce((select arg_min(lv, (ratio, source)) from v where lv <= ratio), 0) * w) as target from v),
+c as (select d.doc_id, d.size, t.source_size, t.target, t.class, floor(t.target + 0.5)::bigint as goal,
              (coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size
                        rows between unbounded preceding and 1 preceding), 0))::bigint as start
-      from d join t on d.source is not distinct from t.source)
+      from d join t on d.source is not distinct from t.source),
+-- Rates at times 0, 1/2 and 1: 1.5, 1, 0.5; 1, 1, 1; 0.5, 1, 1.5. By 1/2 they have asked for x; p solves a p + b p^2 / 2 = share - asked.
+k as (select *, (start + greatest(0, least(size, goal - start)) / 2.0::double) / nullif(target, 0) as share,
+             [0.625::double, 0.5::double, 0.375::double][class + 1] as x, [1.5::double, 1.0::double, 0.5::double][class + 1] as a,
+             [-2.0::double, 0.0::double, 2.0::double][class + 1] as b2 from c),
+e as (select *, share <= x as early, case when share <= x then share else share - x end as area, case when share <= x then a else 1.0::double end as rate from k)
 select doc_id, size, source_size, target,
+       case when size > 0 and goal > start
+            then least(case when early then 0.5::double else 1.0::double end, case when early then 0.0::double else 0.5::double end
+                       + coalesce((2 * area) / (rate + sqrt(greatest(rate * rate + b2 * area, 0.0::double))), 0.0::double)) end as position,
        (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size))
         + greatest(0, least(size, goal - start - 2 * source_size)))::bigint as taken
-from c
+from e
 """,
 }
