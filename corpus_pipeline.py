@@ -29,15 +29,21 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five-word shingles, similarity 0.8); of equal ids one row.
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8), whatever their ids.
 
-    Documents with a null id can't be told apart by it and all stay.
+    Rows are told apart by id and text, so a repeated id drops no other text and rows without an id take part. Of a
+    group the row with the smallest hash of both stays, of rows that repeat id and text any one; rows without words
+    are like no other row.
     """
     bounded_batches(spark)
-    groups = circulant.near_duplicates(docs)
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    groups = write_table(circulant.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row").select(F.col("doc_id").alias("_row"), "kept"), "rows")
+    repeated = groups.where("kept").groupBy("_row").count().where("count > 1").select("_row")
+    # What goes is less than what stays, so texts meet the short list; only repeated rows are shuffled as texts.
+    gone = groups.where("not kept").select("_row").unionAll(repeated).distinct()
+    rows = docs.withColumn("_row", row)
+    once = rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.join(gone, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
