@@ -27,9 +27,35 @@ def test_pages(spark):
     assert (one.restrooms, one.water, one.overview, one.amenities, one.body_of_water) == ("Restroom and Water", "Drinking WATER", "Nice place", "- table\n- ring\n", True)
     assert d[3].latitude is None and d[3].amenities is None and d[4].body_of_water is False
     assert [tuple(r) for r in pages.extract_cards(df, "http://h").collect()] == [(2, "A site", "http://h/a", "BigWoods")]
-    assert pages.has_next(pages.tree(LISTING)) and not pages.has_next(pages.tree(DETAIL)) and pages.breadcrumb(pages.tree("")) == "Unknown"
+    found = {r.page_id: r for r in pages.extract_listings(df, "").collect()}
+    assert found[2].has_next and not found[1].has_next and found[3].park_name == "Unknown" and found[1].cards == []
     assert [(r.page_id, r.href, r.label) for r in pages.extract_links(df).collect()] == [(1, None, None)][:0] + [(2, "/a", "A site"), (2, "?2", "next")]
-    assert pages.detail('<div class="field--name-field-rec-general-info"><p>x</p></div>')["amenities"] == ""
+
+
+def test_page_shapes(spark):
+    general = '<div class="field--name-field-rec-general-info">{}</div>'
+    rows = [
+        (1, general.format("<p>x</p>")),
+        (2, "<p>" * 1500 + "deep <a href='/x'>link</a>" + "</div>" * 5),
+        (3, general.format("<p>Amenities: a</p><p>Amenities:</p><ul><li>b</li></ul>")),
+        (4, general.format("<p>Amen<b>ities</b>: a</p>") + '<div class="rec-intro"><div class="field--name-field-rec-description field"><p>Overview</p><p> </p><p>Overview too</p><p>text</p><p>Amenities: inn</p></div></div>'),
+        (5, '<div class="margin-top-5"><h2>Getting There</h2></div><div class="margin-top-5"><h2>Getting There</h2><p>Take it</p></div><h3><i><button>Fee Site and Info</button></i></h3><div>free</div>'),
+        (6, "<a href>empty</a><a>none</a><br/></p></b>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    d = {r.page_id: r for r in pages.extract_details(df).collect()}
+    assert [d[k].amenities for k in (1, 2, 3, 4)] == ["", None, "a- b\n", "inn"]
+    assert d[4].overview == "text" and d[5].directions is None and d[5].fee_info == "free" and d[5].season_of_use is None
+    assert [(r.page_id, r.href, r.label) for r in pages.extract_links(df).collect()] == [(2, "/x", "link"), (6, "", "empty")]
+    assert pages.extract_details(df.limit(0)).count() == 0
+
+
+def test_collect_sites(spark):
+    page = lambda cards, more: f'<div class="rows__container">{"".join(f"<div class=main-view-item><a href=/{c}>{c}</a></div>" for c in cards)}</div>' + ("<a class='usa-pagination__next-page'>n</a>" if more else "")
+    listings = [("p", 0, page("ab", True)), ("p", 1, page("c", False)), ("p", 2, page("d", True)), ("q", 0, page("", True)), ("q", 1, page("e", False)), ("r", 0, None)]
+    details = [("h/a", DETAIL), ("h/c", None), ("h/z", DETAIL)]
+    out = pages.collect_sites(spark.createDataFrame(listings, "park_url string, page_no int, html string"), spark.createDataFrame(details, "site_url string, html string"), "h")
+    assert sorted((r.park_url, r.page_no, r.place, r.site_name, r.latitude, r.body_of_water) for r in out.collect()) == [("p", 0, 0, "a", "1.5", True), ("p", 0, 1, "b", None, None), ("p", 1, 0, "c", None, False)]
 
 
 def test_changes(spark):
@@ -51,11 +77,12 @@ def test_writers(spark, tmp_path):
     t = spark.createDataFrame([(1, "a,b\""), (2, None)], "id long, v string")
     for _ in range(2):
         back = changes.write_csv(t, str(tmp_path / "csv"), "slug")
-        assert sorted((r.id, r.v) for r in back.collect()) == [("1", 'a,b"'), ("2", None)]
+        assert sorted((r["_c0"], r.id, r.v) for r in back.collect()) == [("0", "1", 'a,b"'), ("1", "2", None)]
     path = str(tmp_path / "t")
-    t.write.parquet(path)
-    changes.overwrite(spark.read.parquet(path).where("id = 2"), path)
-    assert [r.id for r in spark.read.parquet(path).collect()] == [2]
+    assert changes.write_version(t, path) == 0
+    assert changes.write_version(changes.read_version(spark, path).where("id = 2"), path) == 1
+    (tmp_path / "t" / "v2").mkdir()  # a write that never ended
+    assert [r.id for r in changes.read_version(spark, path).collect()] == [2] and changes.versions(spark, path) == [0, 1]
 
 
 def test_recorded_source(spark, tmp_path):
@@ -74,8 +101,19 @@ def test_stream_upserts_over_batches(spark, tmp_path):
     rows((1, 1, "a"), (1, 3, "c"), (2, 1, "x")).write.parquet(f"{root}/in")
     stream = lambda: spark.readStream.schema("k long, t long, v string").parquet(f"{root}/in")
     latest.upsert_stream(stream(), "k", ["t"], f"{root}/out").awaitTermination()
-    assert sorted(map(tuple, latest.current(spark, f"{root}/out", 0).collect())) == [(1, 3, "c"), (2, 1, "x")]
+    assert sorted(map(tuple, latest.current(spark, f"{root}/out", rows()).collect())) == [(1, 3, "c"), (2, 1, "x")]
     rows((1, 2, "late"), (2, 5, "y")).write.mode("append").parquet(f"{root}/in")
     latest.upsert_stream(stream(), "k", ["t"], f"{root}/out").awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v"))
-    assert sorted(map(tuple, latest.current(spark, f"{root}/out", last).collect())) == [(1, 3, "c"), (2, 5, "y")]
+    assert sorted(map(tuple, latest.current(spark, f"{root}/out", rows()).collect())) == [(1, 3, "c"), (2, 5, "y")]
+
+
+def test_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    schema, source, target = "k long, t int, v string", tmp_path / "in", str(tmp_path / "out")
+    like = spark.createDataFrame([], schema)
+    rounds = [[(k, 1, "a") for k in range(40)], [(3, 2, "b"), (3, 1, "c"), (99, 5, "n")], [(3, 0, "late")]]
+    for rows in rounds:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        latest.upsert_stream(spark.readStream.schema(schema).parquet(str(source)), "k", ["t"], target, buckets=8).awaitTermination()
+    got = {r.k: (r.t, r.v) for r in latest.current(spark, target, like).collect()}
+    assert got == {**{k: (1, "a") for k in range(40)}, 3: (2, "b"), 99: (5, "n")}
+    assert len(list((tmp_path / "out" / "data" / "batch=1").glob("bucket=*"))) <= 2

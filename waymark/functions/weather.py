@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,33 +22,40 @@ def flatten(raw: Column) -> Column:
     )
 
 
+def by_place(raw: DataFrame, version: list[str]) -> DataFrame:
+    """``lat, lon, day, forecast``: the stored document (JSON text) of each place and day, the one of the largest version.
+
+    ``raw``: lat, lon, day, raw (a response of the forecast service) and the version's columns.
+    """
+    latest = raw.groupBy("lat", "lon", "day").agg(F.max_by("raw", F.struct(*version)).alias("raw"))
+    return latest.select("lat", "lon", "day", F.to_json(flatten(F.col("raw"))).alias("forecast"))
+
+
 def sky(clouds: Column) -> Column:
     """Null stays null; a value that is no number counts as clouded."""
     return F.when(clouds.isNotNull(), F.when(clouds < 25, "mostly clear").when(clouds < 60, "partly cloudy").otherwise("cloudy"))
 
 
-def _field(stored: Column, name: str, kind: str) -> Column:
-    """A field of the stored object, or of the first object of a stored array."""
-    j = F.try_parse_json(stored)
-    return F.coalesce(F.try_variant_get(j, f"$[0].{name}", kind), F.try_variant_get(j, f"$.{name}", kind))
+def summary(stored: Column, clouds: str = "cloud_cover_afternoon") -> Column:
+    """``date, high, low, precip_in, sky`` of a stored document, or of the first of a stored array; null unless it is an
+    object that is not empty. The text is parsed once."""
 
+    def of(day: Column) -> Column:
+        kind = F.schema_of_variant(day)
+        field = lambda name, as_: F.try_variant_get(day, f"$.{name}", as_)
+        return F.when(
+            F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>"),
+            F.struct(
+                field("date", "string").alias("date"),
+                field("temp_max", "double").alias("high"),
+                field("temp_min", "double").alias("low"),
+                field("precipitation_total", "double").alias("precip_in"),
+                sky(field(clouds, "double")).alias("sky"),
+            ),
+        )
 
-def summary(stored: Column, clouds: str = "cloud_cover_afternoon") -> Column:
-    """``date, high, low, precip_in, sky`` of a stored document; null unless it is an object that is not empty."""
-    j = F.try_parse_json(stored)
-    first = F.coalesce(F.try_variant_get(j, "$[0]", "variant"), j)
-    kind = F.schema_of_variant(first)
-    usable = F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>")
-    return F.when(
-        usable,
-        F.struct(
-            _field(stored, "date", "string").alias("date"),
-            _field(stored, "temp_max", "double").alias("high"),
-            _field(stored, "temp_min", "double").alias("low"),
-            _field(stored, "precipitation_total", "double").alias("precip_in"),
-            sky(_field(stored, clouds, "double")).alias("sky"),
-        ),
-    )
+    parsed = F.transform(F.array(F.try_parse_json(stored)), lambda j: F.coalesce(F.try_variant_get(j, "$[0]", "variant"), j))
+    return F.get(F.transform(parsed, of), F.lit(0))
 
 
 def weather_line(sky_: Column, high: Column, low: Column, precip: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,10 +30,22 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str, version: list[str])
     return latest.select(key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*both.columns)
 
 
+def refresh(old: DataFrame, news: DataFrame, key: str, now: Column, limit: int | None = None, stamp: str = "last_updated") -> DataFrame:
+    """``old`` with the rows of ``news`` (unique by ``key``) in place of its own, stamped ``now``; new keys are added.
+
+    ``limit``: only the news of so many keys, the smallest ones, as a run that must stay short.
+    """
+    if limit is not None:
+        news = news.orderBy(key).limit(limit)
+    both = old.withColumn("_new", F.lit(0)).unionByName(news.withColumns({stamp: now, "_new": F.lit(1)}), allowMissingColumns=True)
+    return upsert_latest(both.limit(0), both, key, ["_new"]).select(*old.columns)
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` and the rows of ``new`` (one of each key) whose key it lacks; null keys count as equal."""
-    same = None
-    fresh = new.dropDuplicates(key).alias("n")
+    """``old`` and the rows of ``new`` whose key it lacks, of one key the smallest by its other columns; null keys count as equal."""
+    same, rest = None, [c for c in new.columns if c not in key]
+    one = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else new.distinct()
+    fresh = one.select(*new.columns).alias("n")
     known = old.select(*key).distinct().alias("o")
     for k in key:
         one = F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}"))
@@ -47,19 +59,43 @@ def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return kept.unionByName(child.where(F.col(child_key).isNull()))
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` may itself read: written beside it first, then moved over in one more write."""
-    spark = df.sparkSession
-    beside = path.rstrip("/") + "__next"
-    df.write.mode("overwrite").parquet(beside)
-    spark.read.schema(df.schema).parquet(beside).write.mode("overwrite").parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a table at ``path``: Spark marks a folder when all of its files are there."""
+    jvm, root = spark._jvm, path.rstrip("/")
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write ``df``, which may read the table itself, as its next version. Until that is whole readers get the one before."""
+    version = max(versions(df.sparkSession, path), default=-1) + 1
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{version}")
+    return version
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last finished version of a table; ``LookupError`` if there is none."""
+    found = versions(spark, path)
+    if not found:
+        raise LookupError(f"no finished version under {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/v{found[-1]}")
+
 
+def write_csv(df: DataFrame, path: str, slug: str, order: list[str] | None = None) -> DataFrame:
+    """The rows of one slug as CSV with a header under ``path/slug``, replacing what is there; returns what was read back.
 
-def write_csv(df: DataFrame, path: str, slug: str) -> DataFrame:
-    """The rows of one slug as CSV with a header under ``path/slug``, replacing what is there; returns what was read back."""
-    target = f"{path.rstrip('/')}/{slug}"
-    df.write.mode("overwrite").option("header", True).csv(target)
-    return df.sparkSession.read.option("header", True).csv(target)
+    The leading column without a name numbers the rows in ``order`` (of all columns), from 0. ``OSError`` if what was
+    written holds another number of rows. A park's file is small, as its list of places is; it is one partition.
+    """
+    target, columns = f"{path.rstrip('/')}/{slug}", order or df.columns
+    numbered = df.withColumn("_c0", F.row_number().over(Window.orderBy(*columns)) - 1).select("_c0", *df.columns).orderBy("_c0")
+    head = [" ", *df.columns]
+    numbered.toDF(*head).write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
+    back = df.sparkSession.read.option("header", True).option("escape", '"').option("multiLine", True).csv(target)
+    if back.count() != df.count():
+        raise OSError(f"rows are missing in {target}")
+    return back.toDF("_c0", *df.columns)
 
 
 #: Columns of the scraped files and of the table they go to; None: not in the files (fixed values).

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import fuzzy, text
@@ -18,6 +18,22 @@ def in_areas(areas: Column, forest: Column, field: str = "RecAreaName") -> Colum
     return F.when(F.coalesce(forest, F.lit("")) == "", F.lit(True)).otherwise(F.coalesce(hit, F.lit(False)))
 
 
+def candidates(facilities: DataFrame, name: Column, state: str | None = None, activities: list[int] | None = None, limit: int = 5) -> DataFrame:
+    """The request for candidates over a stored table: ``site_id, pos, facility`` of the first ``limit`` a site.
+
+    ``facilities``: site_id, pos, facility, state, activities. ``name`` must be part of the facility's name in any case
+    (null or empty: any); ``state`` must be equal, and one of ``activities`` must be among the facility's.
+    """
+    wanted = F.contains(F.lower(F.coalesce("facility.FacilityName", F.lit(""))), F.lower(F.coalesce(name, F.lit(""))))
+    if state is not None:
+        wanted &= F.coalesce(F.col("state") == state, F.lit(False))
+    if activities is not None:
+        wanted &= F.coalesce(F.arrays_overlap("activities", F.array(*map(F.lit, activities))), F.lit(False))
+    in_order = Window.partitionBy("site_id").orderBy("pos")
+    rows = facilities.where(wanted).withColumn("pos", F.row_number().over(in_order) - 1)
+    return rows.where(F.col("pos") < limit).select("site_id", "pos", "facility")
+
+
 def best_match(sites: DataFrame, candidates: DataFrame, accept: float = ACCEPT, kind: str | None = KIND, per_site: int | None = 5, suffix: str = " campground") -> DataFrame:
     """``site_id, facility, score``: for each site the first candidate with the highest score of at least ``accept``.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import fuzzy, text
@@ -61,12 +61,18 @@ def forest_score(forest: Column, part: Column, q: str) -> Column:
     return F.greatest(part * 0.6, F.when(F.contains(forest, F.lit(q)), F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
-def scored(rows: DataFrame, query: str) -> DataFrame:
-    """``rows`` with ``score``, ``forest_part`` and ``forest_score`` for a query text."""
+def scored(rows: DataFrame, sites: DataFrame, query: str) -> DataFrame:
+    """``rows`` with ``score``, ``forest_part`` and ``forest_score`` for a query text.
+
+    Each distinct name and forest of ``sites`` is scored once, in a scan of two columns, and joined to the rows.
+    """
     q = normalized_query(query)
+    names = sites.select("name").distinct().select(F.col("name").alias("_name"), site_score(text.normalize(F.col("name")), q).alias("score"))
     forest = text.normalize(F.col("forest_name"))
-    rows = rows.withColumns({"score": site_score(text.normalize(F.col("name")), q), "forest_part": forest_partial(forest, q)})
-    return rows.withColumn("forest_score", forest_score(forest, F.col("forest_part"), q))
+    regions = sites.select("forest_name").distinct().select(F.col("forest_name").alias("_forest"), forest.alias("_flat"), forest_partial(forest, q).alias("forest_part"))
+    regions = regions.select("_forest", "forest_part", forest_score(F.col("_flat"), F.col("forest_part"), q).alias("forest_score"))
+    rows = rows.join(names, F.col("name").eqNullSafe(F.col("_name")))
+    return rows.join(regions, F.col("forest_name").eqNullSafe(F.col("_forest"))).drop("_name", "_forest")
 
 
 def normalized_query(query: str) -> str:
@@ -78,17 +84,19 @@ def search(t: Tables, query: str | None = None, *, is_open=None, has_water=None,
 
     A first row of score exactly 100 whose forest does not also match exactly is returned alone. Otherwise, if the
     best forest beats the best site, the sites of the forest nearest to the query; otherwise all sites at or
-    above the threshold.
+    above the threshold. Rows of equal scores follow the site's id, then its other columns.
     """
     rows = filtered(t, is_open, has_water, has_restrooms, forest)
+    no = F.lit(False)
+    pos = F.struct("id", F.coalesce("is_open", no).alias("o"), F.coalesce("forecast", F.lit("")).alias("f"), "has_water", "has_restrooms")
     if dedupe:
-        rows = rows.dropDuplicates(["id"])
+        rest = [c for c in COLUMNS if c != "id"]
+        rows = rows.groupBy("id").agg(F.min_by(F.struct(*rest), pos).alias("r")).select("id", "r.*")
     if not query:
-        order = [F.coalesce("forest_name", F.lit("")), "name", "id"]
+        order = [F.coalesce("forest_name", F.lit("")), "name", pos]
         return rows.select(*COLUMNS[:5], F.lit(None).cast("double").alias("score"), *COLUMNS[5:]).orderBy(*order).limit(limit)
-    rows = scored(rows, query)
-    pos = F.struct("id", F.coalesce("is_open", F.lit(False)).alias("o"), F.coalesce("forecast", F.lit("")).alias("f"))
-    rows = rows.withColumn("pos", pos)
+    sites = t.sites.where(F.lower("forest_name").like(text.like_pattern(forest))) if forest else t.sites
+    rows = scored(rows, sites, query).withColumn("pos", pos)
     exact = (F.col("score") == 100) & (F.col("forest_score") != 100)
     near = F.col("forest_score") >= fuzzthresh
     facts = rows.agg(
@@ -108,7 +116,11 @@ def search(t: Tables, query: str | None = None, *, is_open=None, has_water=None,
         .when(F.col("d.mode") == "forest", near & F.col("forest_name").eqNullSafe(F.col("d.forest.forest_name")))
         .otherwise(F.col("score") >= fuzzthresh)
     )
-    return decided.where(keep).select(*COLUMNS[:5], "score", *COLUMNS[5:]).orderBy(F.desc("score"), "id").limit(limit)
+    best = decided.where(keep).orderBy(F.desc("score"), "pos").limit(limit)
+    # An exact hit is one row, also where equal rows fan out; the window sees the rows of one page only.
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "pos"))
+    shown = best.withColumn("place", place).where((F.col("d.mode") != "exact") | (F.col("place") == 1))
+    return shown.orderBy("place").select(*COLUMNS[:5], "score", *COLUMNS[5:])
 
 
 def by_name(t: Tables, query: str, fuzzthresh: float = 40, limit: int = 10) -> DataFrame:

@@ -107,6 +107,17 @@ def search_exact_hit(spark, root):
     return search.search(catalogue(spark, root), "Small Ring")
 
 
+@query(o.search("small ring", status="reports"))
+def search_exact_fanout(spark, root):
+    """Sites with many status reports: the exact hit is still one row."""
+    return search.search(catalogue(spark, root, tables.status_reports), "Small Ring")
+
+
+@query(o.search("smll rng", "a.water", status="reports"))
+def search_name_fanout(spark, root):
+    return search.search(catalogue(spark, root, tables.status_reports), "smll rng", has_water=True)
+
+
 @query(o.search("small ring with extras"))
 def search_long_query(spark, root):
     return search.search(catalogue(spark, root), "small ring with extras")
@@ -236,6 +247,28 @@ def status_badges(spark, root):
     return rows.select("id", display.status_chip(F.col("is_open")).alias("status"), F.array_join(display.badges(F.col("has_water"), F.col("has_restrooms")), ",").alias("badges"), line.alias("line"))
 
 
+@query(
+    "with w as (select event_id, user_id % 40 as lat, -(user_id % 25) as lon, ts::date as day, value, json_extract_string(props, '$.k')::double as k from events), "
+    "u as (select *, row_number() over (partition by lat, lon, day order by event_id desc) as r from w) "
+    "select lat::double as lat, lon::double as lon, day, strftime(day, '%Y-%m-%d') as date, k + 1.5 as high, k - 3.25 as low, k / 16 as precip_in, case when k < 25 then 'mostly clear' when k < 60 then 'partly cloudy' else 'cloudy' end as sky, "
+    "(case when k < 25 then 'mostly clear' when k < 60 then 'partly cloudy' else 'cloudy' end) || ' · High ' || round_even(k + 1.5, 0)::decimal(20,1)::varchar || '° / Low ' || round_even(k - 3.25, 0)::decimal(20,1)::varchar || '° · ' "
+    "|| round_even(k / 16, 2)::varchar || ' in precip' as line from u where r = 1"
+)
+def weather_cards(spark, root):
+    """Raw forecast documents of places and days, the last one of each, flattened, stored and shown."""
+    e, k = tables.read(spark, root, "events"), F.try_variant_get(F.try_parse_json("props"), "$.k", "double")
+    day = F.to_date("ts")
+    raw = F.to_json(
+        F.struct(
+            F.date_format(day, "yyyy-MM-dd").alias("date"), F.struct((k / 16).alias("total")).alias("precipitation"), F.struct((k - 3.25).alias("min"), (k + 1.5).alias("max")).alias("temperature"), F.struct(k.alias("afternoon")).alias("cloud_cover")
+        )
+    )
+    rows = e.select((F.col("user_id") % 40).cast("double").alias("lat"), (-(F.col("user_id") % 25)).cast("double").alias("lon"), day.alias("day"), raw.alias("raw"), "event_id")
+    stored = weather.by_place(rows, ["event_id"])
+    shown = stored.select("lat", "lon", "day", weather.summary(F.col("forecast")).alias("s")).select("lat", "lon", "day", "s.*")
+    return shown.withColumn("line", weather.weather_line(F.col("sky"), F.col("high"), F.col("low"), F.col("precip_in")))
+
+
 # Links and boxes
 
 
@@ -302,6 +335,18 @@ def name_suffix(spark, root):
 # Changes
 
 
+@query(
+    "with o as (select c_custkey as site, c_mktsegment as forecast, timestamp '2024-01-01 00:00:00' as last_updated from customer), "
+    "n as (select o_custkey as site, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) as forecast from orders group by 1 order by 1 limit 5) "
+    "select o.site, coalesce(n.forecast, o.forecast) as forecast, case when n.site is not null then timestamp '2024-05-05 12:00:00' else last_updated end as last_updated from o left join n on o.site = n.site"
+)
+def refresh_limited(spark, root):
+    """A refresh of the first five sites that have news, stamped with the time it is given."""
+    old = tables.read(spark, root, "customer").select(F.col("c_custkey").alias("site"), F.col("c_mktsegment").alias("forecast"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("last_updated"))
+    latest_orders = tables.read(spark, root, "orders").groupBy(F.col("o_custkey").alias("site")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("forecast"))
+    return changes.refresh(old, latest_orders, "site", F.lit("2024-05-05 12:00:00").cast("timestamp_ntz"), limit=5)
+
+
 @query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(props, (ts, event_id)) as props from events group by 1")
 def upsert_latest(spark, root):
     e = tables.read(spark, root, "events").select("user_id", "event_id", "ts", "props", "event_type")
@@ -346,6 +391,16 @@ def add_column_if_missing(spark, root):
     return changes.add_column(changes.add_column(tables.read(spark, root, "region"), "forest_name"), "r_name")
 
 
+_FILES = [c for c in dict.fromkeys([*changes.CSV_COLUMNS.values(), *changes.CSV_AMENITIES.values()]) if c]
+
+
+@query("select " + ", ".join(f"{'null::varchar' if c is None else f'c_name || {chr(39)}/{c}{chr(39)}'} as {new}" for new, c in {**changes.CSV_COLUMNS, **changes.CSV_AMENITIES}.items()) + " from customer")
+def csv_columns(spark, root):
+    """All pairs of names, of the sites' table and of the amenities'."""
+    files = tables.read(spark, root, "customer").select(*[F.concat("c_name", F.lit(f"/{c}")).alias(c) for c in _FILES])
+    return changes.from_csv(files, {**changes.CSV_COLUMNS, **changes.CSV_AMENITIES})
+
+
 @query(
     "select c_name as name, null::varchar as num_sites, c_mktsegment as address, c_name as contact_name, 'Unknown' as park from customer"
 )
@@ -357,6 +412,20 @@ def csv_rename(spark, root):
 # Nested values
 
 
+@query(
+    "with c as (select p_brand as site, p_partkey as pos, p_partkey::varchar as fid, p_name as fname, case when p_size % 2 = 0 then 'CA' else 'NV' end as state, p_size % 10 as activity from part), "
+    "k as (select site, fid, fname, row_number() over (partition by site order by pos) as r from c where state = 'CA' and activity in (6, 8) and contains(lower(fname), 'ring')) select site, (r - 1)::int as pos, fid as facility_id, fname as facility_name from k where r <= 5"
+)
+def candidate_request(spark, root):
+    p = tables.read(spark, root, "part")
+    facility = F.struct(F.col("p_partkey").cast("string").alias("FacilityID"), F.col("p_name").alias("FacilityName"))
+    table = p.select(
+        F.col("p_brand").alias("site_id"), F.col("p_partkey").alias("pos"), facility.alias("facility"), F.when(F.col("p_size") % 2 == 0, "CA").otherwise("NV").alias("state"), F.array(F.col("p_size") % 10, F.lit(99)).alias("activities")
+    )
+    asked = resolve.candidates(table, F.lit("Ring"), state="CA", activities=[6, 8], limit=5)
+    return asked.select(F.col("site_id").alias("site"), F.col("pos").cast("int").alias("pos"), F.col("facility.FacilityID").alias("facility_id"), F.col("facility.FacilityName").alias("facility_name"))
+
+
 @query("select l_orderkey as id, bool_or(contains(lower(l_returnflag), 'a')) as hit, count(*) as n from lineitem group by 1")
 def nested_any(spark, root):
     lines = tables.read(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("RecAreaName"))).alias("areas"))
@@ -436,17 +505,24 @@ def result_counts(spark, root):
 # Pages
 
 
-@query()
+_LINKS = """m as (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as l from pages),
+links as (select page_id, (i - 1)::int as pos, replace(h[i], '&amp;', '&') as href, trim(replace(l[i], '&amp;', '&')) as label from (select *, unnest(range(1, len(h) + 1)) as i from m))"""
+
+
+@query(f"with {_LINKS} select * from links")
 def page_links(spark, root):
     return pages.extract_links(tables.read(spark, root, "pages"))
 
 
-@query()
+@query(
+    f"with {_LINKS} select p.page_id, coalesce(bool_or(regexp_matches(lower(label), '(water)|(swimming)|(boating)|(lake)')), false) as body_of_water, arg_max(label, pos) as last, "
+    "arg_min(label, pos) as first, coalesce(string_agg('- ' || label || chr(10), '' order by pos), '') as bullets from pages p left join links l on p.page_id = l.page_id group by 1"
+)
 def page_flags(spark, root):
-    """Per page: keywords on its links and the last and first labels, from the parsed links."""
-    links = page_links(spark, root)
-    rows = links.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
-    wet = F.exists("labels", lambda x: F.lower(x).rlike("(water)|(swimming)|(boating)|(lake)"))
+    """Per page: keywords on its links and the last and first labels; pages without links have false and nulls."""
+    links, every = page_links(spark, root), tables.read(spark, root, "pages").select("page_id")
+    rows = every.join(links, "page_id", "left").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "label")))), lambda x: x["label"]).alias("labels"))
+    wet = pages.mentions_water(F.col("labels"))
     return rows.select("page_id", wet.alias("body_of_water"), F.try_element_at("labels", F.lit(-1)).alias("last"), F.get("labels", F.lit(0)).alias("first"), text.bullet_list(F.col("labels")).alias("bullets"))
 
 
@@ -455,6 +531,35 @@ def html_extract(spark, root):
     return pages.extract_details(tables.read(spark, root, "pages"))
 
 
+@query(
+    "with s as (select p_brand as park_url, p_partkey as k, p_name as site_name, p_size, p_type, p_retailprice, (row_number() over (partition by p_brand order by p_partkey) - 1) as r from part), "
+    "g as (select park_url, r // 5 as page_no, bool_or(p_size = 50) as last_page from s group by 1, 2), "
+    "e as (select *, coalesce(bool_or(last_page) over (partition by park_url order by page_no rows between unbounded preceding and 1 preceding), false) as ended from g) "
+    "select 'http://site/' || s.k as site_url, s.park_url, s.r::int // 5 as page_no, (s.r % 5)::int as place, 'Woods of ' || s.park_url as park_name, s.site_name, "
+    "case when p_size < 40 then 'May to ' || p_type end as season_of_use, case when p_size < 40 then p_size::varchar end as latitude, case when p_size < 40 and p_size % 2 = 0 then 'Take road ' || p_size end as directions, "
+    "case when p_size < 40 then '- ' || site_name || chr(10) || '- table' || chr(10) end as amenities, case when p_size < 40 then p_size % 3 = 0 end as body_of_water "
+    "from s join e on s.park_url = e.park_url and s.r // 5 = e.page_no where not ended"
+)
+def collect_sites(spark, root):
+    """Listing and detail pages made of the parts, taken apart and joined: five places a page, no next link behind size 50, no detail page from size 40 on."""
+    p = tables.read(spark, root, "part").withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    card = F.format_string("<div class='card main-view-item'><a href='/%d'><i>%s</i></a></div>", "p_partkey", "p_name")
+    listings = p.groupBy(F.col("p_brand").alias("park_url"), F.floor(F.col("r") / 5).cast("int").alias("page_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", card.alias("c")))), lambda x: x["c"]), "").alias("cards"), F.bool_or(F.col("p_size") == 50).alias("last")
+    )
+    crumbs = F.format_string("<nav class='usa-breadcrumb'><li class='usa-breadcrumb__list-item'>Home<li class='usa-breadcrumb__list-item'>Woods of %s</nav>", "park_url")
+    following = F.when(F.col("last"), "").otherwise("<a class='usa-pagination__next-page'>next</a>")
+    listings = listings.select("park_url", "page_no", F.concat(crumbs, F.lit("<div class='rows__container'>"), "cards", F.lit("</div>"), following).alias("html"))
+    body = F.format_string(
+        "<h3><button>Seasons of Use</button></h3><div>May to %s</div><div class='margin-top-5'><h2>Getting There</h2><p>Latitude: %d</p>%s</div>"
+        "<div class='opportunities margin-top-5'><a class='opportunity__item'>%s</a></div><div class='field--name-field-rec-general-info'><p>Amenities:</p><ul><li>%s</li><li> table </li></ul></div>",
+        "p_type", "p_size", F.when(F.col("p_size") % 2 == 0, F.format_string("<p>Take road %d</p>", "p_size")).otherwise(""), F.when(F.col("p_size") % 3 == 0, "Lake fishing").otherwise("Hiking"), "p_name",
+    )
+    details = p.where("p_size < 40").select(F.format_string("http://site/%d", "p_partkey").alias("site_url"), body.alias("html"))
+    rows = pages.collect_sites(listings, details, "http://site")
+    return rows.select("site_url", "park_url", "page_no", "place", "park_name", "site_name", "season_of_use", "latitude", "directions", "amenities", "body_of_water")
+
+
 @query("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, arg_max(props, (ts, event_id)) as props from events group by 1")
 def stream_latest(spark, root):
     return latest.stream_latest(spark, root)

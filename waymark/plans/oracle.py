@@ -50,15 +50,15 @@ part as (select t.x, case when length(t.x) = 0 and {len(q)} = 0 then 100.0 when
          from texts t left join (select x, {ratio("s", "w")} as r from wins) w on t.x = w.x group by t.x)"""
 
 
-def search(query: str, where: str = "true", threshold: int = 40, limit: int = 200) -> str:
-    """The fuzzy search over ``rows_``; ``pos`` is the id, and the tables here have one row for each."""
+def search(query: str, where: str = "true", threshold: int = 40, limit: int = 200, status: str = "status") -> str:
+    """The fuzzy search over ``rows_``; an exact hit is one row."""
     q = "".join(query.lower().split())
     lit = "'" + q.replace("'", "''") + "'"
     flat = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '\\s+', '', 'g')"
     names = partials("flat", "n", q).replace("texts", "ntexts").replace("sides", "nsides").replace("wins", "nwins").replace("part as", "npart as")
     regions = partials("flat", "f", q).replace("texts", "ftexts").replace("sides", "fsides").replace("wins", "fwins").replace("part as", "fpart as")
     return f"""
-with {filtered(where)},
+with {filtered(where, status)},
 flat as (select *, {flat("name")} as n, {flat("forest_name")} as f from rows_),
 {names},
 {regions},
@@ -75,5 +75,6 @@ where case when exact_id is not null then id = exact_id
            when best_forest >= {threshold} and best_forest > best_site
              then forest_score >= {threshold} and forest_name is not distinct from (select forest_name from win)
            else score >= {threshold} end
-order by score desc, id limit {limit}
+order by score desc, id, coalesce(is_open, false), coalesce(forecast, ''), has_water, has_restrooms
+limit (select case when exact_id is not null then 1 else {limit} end from facts)
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import dates, display, weather
@@ -84,5 +84,18 @@ def weather_range(sites: DataFrame, recorded: DataFrame, site_id: int | None, st
     return rows.groupBy("site_id", "lat", "lon").agg(F.transform(ordered, lambda x: x["forecast"]).alias("forecast"))
 
 
+def detail_forecast(site: DataFrame, stored: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``site_id, summaries`` of a detail page: the summaries of the range's days in order, at least the first day.
+
+    ``site``: id, latitude, longitude; ``stored``: lat, lon, day, forecast. All or nothing: one day without a stored
+    forecast empties the list, as a failed call does; days whose forecast has no summary are left out.
+    """
+    wanted = site.select(F.col("id").alias("site_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.explode(dates.days(start, end, least=1)).alias("day"))
+    rows = wanted.join(stored.select("lat", "lon", "day", "forecast", F.lit(True).alias("hit")), ["lat", "lon", "day"], "left")
+    made = F.struct("day", weather.summary(F.col("forecast")).alias("s"))
+    listed = F.transform(F.filter(F.array_sort(F.collect_list(made)), lambda x: x["s"].isNotNull()), lambda x: x["s"])
+    return rows.groupBy("site_id").agg(F.when(F.bool_and(F.coalesce("hit", F.lit(False))), listed).otherwise(F.slice(listed, 1, 0)).alias("summaries"))
+
+
 def api_map(sites: DataFrame) -> DataFrame:
     return as_json(mapview.map_points(sites))

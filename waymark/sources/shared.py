@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where there is none, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where there is none, as in tests.
+
+    ``RuntimeError`` on a cluster without that setting: no folder of one machine would do there.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="waymark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

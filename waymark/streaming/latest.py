@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.changes import upsert_latest
 from waymark.sources.shared import new_path
 
+BUCKETS = 64
+
 
 def latest_by_key(stream: DataFrame, key: str, version: list[str]) -> DataFrame:
     """Running state: one row a key with the largest version. Works on streams (update mode) and tables."""
@@ -15,24 +19,54 @@ def latest_by_key(stream: DataFrame, key: str, version: list[str]) -> DataFrame:
     return stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def upsert_stream(stream: DataFrame, key: str, version: list[str], target: str):
+def upsert_stream(stream: DataFrame, key: str, version: list[str], target: str, buckets: int = BUCKETS):
     """Start an upsert of every available row into ``target``; returns the running query.
 
-    Each batch writes the next version of the table from the one before it, so a batch that runs again writes the
-    same files; ``current`` reads the last.
+    The table is cut into buckets by a hash of the key, whose number stays that of the first batch. A batch writes only
+    the buckets that it touches, whole, into a folder of its own; ``current`` reads each bucket's last finished folder.
+    A batch that runs again reads only what earlier ones wrote and overwrites its own folder.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], batch.schema)
-        upsert_latest(old, batch, key, version).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+        if not touched:
+            return
+        held = {b: at for b, at in _places(spark, target, batch_id).items() if b in touched}
+        old = _read(spark, target, held, new)
+        upsert_latest(old, new, key, version).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/batch={batch_id}")
 
     writer = latest_by_key(stream, key, version).writeStream.outputMode("update").foreachBatch(apply)
     return writer.option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(f"{target}/v{last_batch}")
+def _places(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The last finished batch that wrote each bucket, of those below ``before``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda pattern: [f.getPath().toString() for f in fs.globStatus(path(f"{target}/data/{pattern}")) or []]
+    done = {int(re.search(r"batch=(\d+)", p)[1]) for p in listed("batch=*/_SUCCESS")}
+    out: dict[int, int] = {}
+    for p in listed("batch=*/bucket=*"):
+        batch, bucket = map(int, re.search(r"batch=(\d+)/bucket=(\d+)", p).groups())
+        if batch in done and (before is None or batch < before):
+            out[bucket] = max(batch, out.get(bucket, -1))
+    return out
+
+
+def _read(spark: SparkSession, target: str, places: dict[int, int], like: DataFrame) -> DataFrame:
+    if not places:
+        return spark.createDataFrame([], like.schema)
+    paths = [f"{target}/data/batch={batch}/bucket={bucket}" for bucket, batch in sorted(places.items())]
+    rows = spark.read.schema(like.drop("bucket").schema).parquet(*paths)
+    inner = F.regexp_extract(F.col("_metadata.file_path"), r"/bucket=(\d+)/", 1).cast("int")
+    return rows.withColumn("bucket", inner).select(*like.columns)
+
+
+def current(spark: SparkSession, target: str, like: DataFrame) -> DataFrame:
+    """The table as the last finished batch left it; ``like`` gives its columns."""
+    return _read(spark, target, _places(spark, target), like)
 
 
 def stream_latest(spark: SparkSession, root: str) -> DataFrame:
@@ -41,20 +75,5 @@ def stream_latest(spark: SparkSession, root: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
     rows = events.select("user_id", "ts", "event_id", "event_type", "value", "props")
     target = new_path(spark, "stream-latest")
-    query = upsert_stream(rows, "user_id", ["ts", "event_id"], target)
-    query.awaitTermination()
-    done = query.lastProgress["batchId"]
-    last = done or 0  # a batch without rows writes no version
-    while last and not _written(spark, f"{target}/v{last}"):
-        last -= 1
-    return current(spark, target, last)
-
-
-def _written(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    upsert_stream(rows, "user_id", ["ts", "event_id"], target).awaitTermination()
+    return current(spark, target, latest_by_key(spark.createDataFrame([], rows.schema), "user_id", ["ts", "event_id"]))
