@@ -20,7 +20,7 @@ def test_held_out(spark):
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     model = compress_lang.fit_languages(docs, ~held_out())
-    assert sorted(model) == ["de", "en", "es", "fr"] and all(len(d) < 2 * compress_lang.SAMPLE_DOCS * compress_lang.SLICE_CHARS * 2 for _, d in model.values())
+    assert sorted(model) == ["de", "en", "es", "fr"] and all(1000 < len(d) <= compress_lang.DICTIONARY_BYTES for _, d in model.values())
     rows = compress_lang.classify(docs, model).where(held_out()).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.96 and all(0 <= r.lang_score <= 1 for r in rows)
     assert np.mean([r.lang_rejected for r in rows]) < 0.02
@@ -39,6 +39,18 @@ def test_language_rows(spark):
     assert {r.lang_pred for r in compress_lang.classify(docs, one).collect()} == {"en", "und"}
 
 
+def test_dictionaries_hold_whole_texts_within_bounds(spark):
+    rows = [(7, "same text", "a")] * 50 + [(k, f"word{'abcdefgh'[k % 8]} " * (k + 1), "a") for k in range(20)] + [(None, "x" * 9000, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = compress_lang.fit_languages(docs, F.lit(True), sample_docs=12, dictionary_bytes=600, doc_bytes=100)
+    assert {k: n for k, (n, _) in model.items()} == {"a": 70, "b": 3} and model["b"][1] == b"x" * 9000
+    held, texts = model["a"][1].decode(), {compress_lang.letters(t).decode() for _, t, lang in rows if lang == "a"}
+    assert len(held) <= 600 and held.count("same text") <= 1
+    for t in sorted(texts, key=len, reverse=True):
+        held = held.replace(t, "", 1)
+    assert not held.strip()
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     sizes = [1, 5, 0, 8, 3]

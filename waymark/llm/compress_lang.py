@@ -1,14 +1,14 @@
 """Language identification by compression.
 
-For each learned language a zstandard raw-content dictionary holds slices of its labelled texts. A text is
+For each learned language a zstandard raw-content dictionary holds some of its labelled texts. A text is
 reduced to lower-case letter runs, cut into chunks of 1 KiB (all of them; small chunks keep the dictionary and
 not the text's own past in charge) and compressed with every dictionary; the language with the smallest sum
 wins, ties going to the language with more labelled documents. ``margin`` is how much larger the second
 smallest is, as a share of the smallest; below ``MIN_MARGIN`` the answer is rejected.
 
 Rows: a null text or one without a letter gives ``und``, score 0, margin 0, rejected; so does every text where
-nothing was learned (empty table, or no labelled row); repeated rows stay; a null ``doc_id`` is carried; rows
-with a null language are not learned from; other columns are not looked at.
+nothing was learned (empty table, or no labelled row); repeated rows stay; a null ``doc_id`` is carried; a very long text is
+compressed whole, chunk by chunk; rows with a null language are not learned from; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bound of the fit: so many labelled documents a language at most, with one slice of so many characters each.
-SAMPLE_DOCS = 300
-SLICE_CHARS = 400
+#: Bounds of the fit for a language: labelled documents drawn, and bytes of the dictionary. Documents of at most
+#: ``DOC_BYTES`` come first, so that a dictionary holds many of them.
+SAMPLE_DOCS, DICTIONARY_BYTES, DOC_BYTES = 300, 120_000, 4_000
 LEVEL = 6
 CHUNK_BYTES = 1024
 MIN_MARGIN = 0.002
@@ -39,28 +39,32 @@ def letters(text: str) -> bytes:
     return NO_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
-def fit_languages(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, tuple[int, bytes]]:
+def fit_languages(
+    docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, doc_bytes: int = DOC_BYTES
+) -> dict[str, tuple[int, bytes]]:
     """``language: (labelled documents, dictionary)`` from the rows where ``learn`` holds.
 
-    The counts cover all labelled rows. The sample takes the documents with the smallest hashes, a bounded
-    number of slices a language, so the driver gets ``SAMPLE_DOCS * SLICE_CHARS`` characters for each.
+    The counts cover all labelled rows. A dictionary holds whole texts, of the documents with the smallest hashes of
+    id and text, those of up to ``doc_bytes`` first, as long as they fit into ``dictionary_bytes`` (the first always
+    does). The driver gets no more than these texts.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    text = F.col(text_col).cast("string")
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & text.isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # A hash below its language's threshold: about one and a half times the sample, cut to size afterwards.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * SAMPLE_DOCS / n))])
-    order = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(SALT)), F.lit(1 << 30))
-    room = F.greatest(F.length(text_col) - SLICE_CHARS, F.lit(0)) + 1
-    start = (F.pmod(F.xxhash64(F.col(id_col).cast("string")), room) + 1).cast("int")
-    picked = rows.where(order < share[F.col(lang_col)] * F.lit(1 << 30)).select(
-        F.col(lang_col).alias("lang"), order.alias("o"), F.substr(F.col(text_col), start, F.lit(SLICE_CHARS)).alias("s")
-    )
-    slices: dict[str, list] = {lang: [] for lang in counts}
-    for r in picked.collect():
-        slices[r["lang"]].append((r["o"], r["s"]))
-    return {lang: (n, b" ".join(letters(s) for _, s in sorted(slices[lang])[:SAMPLE_DOCS])) for lang, n in sorted(counts.items())}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample_docs / n))])
+    order = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(SALT)), F.lit(1 << 30))
+    # Rows that repeat id and text become one in the scan's tasks.
+    picked = rows.where(order < share[F.col(lang_col)] * F.lit(1 << 30)).select(F.col(lang_col).alias("lang"), order.alias("o"), text.alias("s")).distinct()
+    in_order = Window.partitionBy("lang").orderBy(F.octet_length("s") > doc_bytes, "o", "s")
+    picked = picked.withColumns({"r": F.row_number().over(in_order), "bytes": F.sum(F.octet_length("s") + 1).over(in_order)})
+    held = picked.where((F.col("r") <= sample_docs) & ((F.col("bytes") <= dictionary_bytes) | (F.col("r") == 1))).select("lang", "r", "s").collect()
+    texts: dict[str, list] = {lang: [] for lang in counts}
+    for r in sorted(held, key=lambda r: r["r"]):
+        texts[r["lang"]].append(letters(r["s"]))
+    return {lang: (n, b" ".join(texts[lang])) for lang, n in sorted(counts.items())}
 
 
 class Classifier:

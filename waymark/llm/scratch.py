@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from waymark.sources.shared import new_path
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
@@ -23,7 +13,7 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     Files lie under ``<shared folder>/<application id>/``; that folder can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

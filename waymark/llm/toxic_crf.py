@@ -13,7 +13,8 @@ they are neighbours, are the offending spans.
 
 Rows: null and empty texts have no tokens and score what the curve gives for none; without a labelled toxic
 document every score is 0; a document with several labels counts as toxic if one says so; labels that are
-null, or of unknown documents, are not used; repeated rows stay; an empty table gives no rows.
+null, or of unknown documents, are not used; repeated rows stay; a very long text is tagged whole, with others in one
+batch or alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.pretokens import Memo, batches
 
-#: Bound of the fit: clean and toxic labelled documents, those with the smallest hashes.
-SAMPLE_DOCS = (2000, 1000)
+#: Bound of the fit: clean and toxic labelled documents, those with the smallest hashes, and the bytes of their texts.
+SAMPLE_DOCS, SAMPLE_BYTES = (2000, 1000), (24_000_000, 12_000_000)
 #: A word or beginning is a feature if toxic texts have it so many times as often as clean ones, and if the
 #: log-likelihood ratio says that chance, among all the words there are, hardly gives that.
 MIN_RATIO, MIN_G2 = 8.0, 15.0
@@ -247,10 +248,10 @@ def fit_curve(expected: np.ndarray, toxic: np.ndarray, ratio: np.ndarray) -> tup
     return float(c[0]), float(max(c[1], 1e-3))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: tuple[int, int] = SAMPLE_DOCS, text_col: str = "text") -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: tuple[int, int] = SAMPLE_DOCS, sample_bytes: tuple[int, int] = SAMPLE_BYTES, text_col: str = "text") -> Model:
     """Train on the labelled rows where ``learn`` (a condition on ``doc_id``) holds.
 
-    The driver gets the whole texts of ``sample_docs`` clean and toxic documents at most.
+    The driver gets whole texts of at most ``sample_docs`` clean and toxic documents and ``sample_bytes`` bytes.
     """
     marks = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -258,14 +259,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs:
         return Model()
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * sample_docs[k] / n))])
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.lit(1 << 30))
-    picked = marks.where(order < share[F.col("toxic")] * F.lit(1 << 30)).select("doc_id", "toxic", order.alias("o"))
-    # The picked ids are bounded by the parameter, so they go to the documents and not the other way round.
-    texts = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("o", "toxic", "text").collect()
-    rows = sorted({(r["o"], r["toxic"], r["text"] or "") for r in texts})
-    rows = [r for label in (0, 1) for r in [r for r in rows if r[1] == label][: sample_docs[label]]]
-    if not any(r[1] for r in rows):
+    picked = marks.where(order < share[F.col("toxic")] * F.lit(1 << 30)).select("doc_id", F.col("toxic").cast("int").alias("toxic"), order.alias("o"))
+    # The picked ids are bounded by the parameter, so they go to the documents and not the other way round. Rows that
+    # repeat an id and a text become one in the scan's tasks; what is left is bounded by number and bytes.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").select("o", "toxic", "text").distinct()
+    in_order = Window.partitionBy("toxic").orderBy("o", "text")
+    most = lambda bounds: F.when(F.col("toxic") == 1, bounds[1]).otherwise(bounds[0])
+    texts = texts.withColumns({"r": F.row_number().over(in_order), "bytes": F.sum(F.octet_length("text")).over(in_order)})
+    rows = texts.where((F.col("r") <= most(sample_docs)) & ((F.col("bytes") <= most(sample_bytes)) | (F.col("r") == 1))).select("toxic", "r", "text").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["r"]))
+    if not any(r["toxic"] for r in rows):
         return Model()
-    return train([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), counts.get(0, 0), counts[1])
+    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), counts.get(0, 0), counts[1])
 
 
 class Tagger:
