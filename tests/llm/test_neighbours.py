@@ -34,6 +34,18 @@ def test_vector_rows(spark):
     assert nn_graph.nearest_neighbours(v.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_repeated_ids(spark):
+    inf = float("inf")
+    rows = [(0, [0.0, 0.0]), (0, [1.0, 0.1]), (50, [inf, 1.0]), (50, [0.0, 1.0]), (50, [0.5]), (100, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.0]), (7, [0.0, 2.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(nn_graph.nearest_neighbours(v, lambda i: i % 50 == 0).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    near = lambda *x: [(i, round(float(s), 9)) for i, s in x]
+    a, b = 1 / np.hypot(1, 0.1), 0.1 / np.hypot(1, 0.1)
+    assert got == {0: near((7, a), (100, a), (50, b), (8, -a)), 50: near((7, 1), (100, 1), (0, b), (8, 0)), 100: near((7, 1), (50, 1), (0, b), (8, 0))}
+
+
 def table_of(spark, ids, x):
     return spark.createDataFrame(zip(ids.tolist(), x.tolist(), strict=True), "vec_id long, embedding array<double>").repartition(4)
 

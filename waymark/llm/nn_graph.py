@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph built with joins, searched greedily.
 
-Vectors of equal direction (to 12 digits of the largest component) form one node, named by its smallest id, so a very
+Vectors of equal direction (to 12 digits of the largest component) form one node, named by a hash of it, so a very
 common vector is one node however many rows have it, at whatever scale; up to ``k + 1`` of its smallest ids are kept, which is all that a list of k neighbours can show.
 
 Build: nodes are sorted into blocks by the signs of random projections, a few times over, and every node
 takes its nearest ones in its blocks. Then, in rounds, each node introduces its neighbours (by forward and
 backward edges, the backward ones bounded by ``REVERSE`` smallest hashes) to each other: a Spark join brings the
-neighbours' vectors to the node, all pairs are measured there, and what beats a neighbour's own list goes to it.
-Rounds end when few lists change, however many it takes. Vectors travel as unit vectors in single precision, and ``near`` is half the squared
+neighbours' vectors to the node, pairs are measured there, and what beats a neighbour's own list goes to it.
+An edge is new in the round after it was found; only pairs with a new edge are measured, and nodes without one send
+for no vectors. Rounds end when few lists change, however many it takes. Vectors travel as unit vectors in single precision, and ``near`` is half the squared
 distance with a minus, summed in double precision: it tells near copies apart where their cosines all round to 1.
 
 Recall: a fixed sample of the queries is also measured against all vectors, block by block. While the search finds
@@ -19,8 +20,8 @@ the graph, until none is left. All nodes seen are measured on the original vecto
 Cosines equal to 14 digits are ties, of which the smallest id comes first.
 
 Rows: vectors that are null, zero, of another length than most or hold a null or a non-finite component take no
-part, neither as query nor as candidate; so do null ids. Of rows that repeat an id the first in vector
-order stands for it. Fewer candidates than k give shorter lists; an empty table gives none; other columns are not looked at.
+part, neither as query nor as candidate; so do null ids. All usable rows that repeat an id are candidates of
+other queries, which list the id once, by its nearest row; as a query the first of them in vector order stands for the id. Fewer candidates than k give shorter lists; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -56,11 +57,11 @@ def _direction(v: Column) -> Column:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of the rows that take part, one for each id."""
+    """``id, vector`` of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
 
 
 def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 6) -> DataFrame:
@@ -71,9 +72,11 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     rows = rows.withColumn("direction", _direction(F.col("vector")))
     # Ids of a vector are first bounded within slices of the ids, so a very common vector meets in no task.
     near = Window.partitionBy("direction", "slice").orderBy("id")
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep)
+    sliced = rows.groupBy("direction", F.pmod(F.xxhash64("id"), F.lit(64)).alias("slice"), "id").agg(F.min("vector").alias("vector"))
+    sliced = sliced.withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep)
     grouped = sliced.groupBy("direction").agg(F.min_by("vector", "id").alias("vector"), F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
-    return grouped.select(F.element_at("ids", 1).alias("node"), "vector", "ids", "direction")
+    # A node's name is its direction's: ids that repeat with other vectors stand in several nodes.
+    return grouped.select(F.xxhash64("direction").alias("node"), "vector", "ids", "direction")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -114,20 +117,21 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[t
         yield done, where
 
 
-EDGES = "node long, other long, near float"
+EDGES = "node long, other long, near float, fresh boolean"
 
 
 def _edge_batch(a, b, s) -> pa.RecordBatch:
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(s, np.float32))], names=["node", "other", "near"])
+    a = cat(a, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(cat(b, np.int64)), pa.array(cat(s, np.float32)), pa.array(np.ones(len(a), bool))], names=["node", "other", "near", "fresh"])
 
 
 def _introduce(rows: DataFrame, most: int) -> DataFrame:
-    """Measure all pairs of each group of ``g, node, small, floor``: up to ``most`` for a member, above its floor."""
+    """Measure the pairs of each group of ``g, node, small, floor, fresh`` of which one is fresh: up to ``most`` for a member, above its floor."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, where in groups(it):
-            node, floor = table.column("node").to_numpy(), table.column("floor").to_numpy()
+            node, floor, fresh = table.column("node").to_numpy(), table.column("floor").to_numpy(), table.column("fresh").to_numpy()
             unit = _rows(table.column("small").combine_chunks(), np.float32).astype(np.float64)
             a, b, s, n = [], [], [], 0
             for x, y in where:
@@ -138,10 +142,12 @@ def _introduce(rows: DataFrame, most: int) -> DataFrame:
                 square = near.diagonal() / 2
                 near = np.minimum(near - square[:, None] - square, 0).astype(np.float32)
                 np.fill_diagonal(near, NOTHING)
+                if not fresh[x:y].all():
+                    near[~(fresh[x:y, None] | fresh[x:y])] = NOTHING
                 k = min(most, m - 1)
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(-near, axis=1)[:, :k]
                 value = np.take_along_axis(near, top, 1)
-                i, j = np.nonzero(value > floor[x:y, None])
+                i, j = np.nonzero(value > np.maximum(floor[x:y, None], np.float32(NOTHING)))
                 a.append(node[x + i])
                 b.append(node[x + top[i, j]])
                 s.append(value[i, j])
@@ -152,13 +158,13 @@ def _introduce(rows: DataFrame, most: int) -> DataFrame:
             if a:
                 yield _edge_batch(a, b, s)
 
-    return rows.select("g", "node", "small", "floor").repartition("g").sortWithinPartitions("g").mapInArrow(run, EDGES)
+    return rows.select("g", "node", "small", "floor", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(run, EDGES)
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each node."""
     best = Window.partitionBy("node").orderBy(F.desc("near"), "other")
-    once = edges.groupBy("node", "other").agg(F.max("near").alias("near"))
+    once = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.bool_and("fresh").alias("fresh"))
     return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
@@ -182,7 +188,7 @@ def _shrink(nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None = None) -> DataFrame:
-    """``node, other, near``: about the k nearest others of each node. ``nodes``: a written table; ``start``: a graph of shorter lists."""
+    """``node, other, near, fresh``: about the k nearest others of each node. ``nodes``: a written table; ``start``: a graph of shorter lists."""
     small = write_table(_shrink(nodes), "small")
     n = small.count()
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
@@ -190,17 +196,21 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None =
     # Blocks that are too full are split by a hash of the node; what that parts, the rounds find.
     full = planted.groupBy("p", "code").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     blocks = planted.join(full, ["p", "code"]).withColumn("g", F.xxhash64("p", "code", F.pmod(F.xxhash64("node", "p"), F.col("parts"))))
-    found = _introduce(blocks.withColumn("floor", F.lit(NOTHING).cast("float")), k)
-    graph = write_table(_nearest(found if start is None else found.unionAll(start), k), "graph")
+    found = _introduce(blocks.withColumns({"floor": F.lit(NOTHING).cast("float"), "fresh": F.lit(True)}), k)
+    if start is not None:
+        found = found.unionByName(start.withColumn("fresh", F.lit(True)))
+    graph = write_table(_nearest(found, k), "graph")
     while True:
         back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"))
-        reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= max(REVERSE, k)).select(F.col("other").alias("g"), "node")
-        around = graph.select(F.col("node").alias("g"), F.col("other").alias("node")).unionAll(reverse).unionAll(small.select(F.col("node").alias("g"), "node")).distinct()
+        reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= max(REVERSE, k)).select(F.col("other").alias("g"), "node", "fresh")
+        around = graph.select(F.col("node").alias("g"), F.col("other").alias("node"), "fresh").unionAll(reverse).unionAll(small.select(F.col("node").alias("g"), "node", F.lit(False)))
+        around = write_table(around.groupBy("g", "node").agg(F.bool_or("fresh").alias("fresh")), "around")
+        around = around.join(around.where("fresh").select("g").distinct(), "g", "left_semi")
         floors = graph.groupBy("node").agg(F.min("near").alias("least"), F.count("*").alias("full"))
         known = small.select("node", "small").join(floors, "node", "left").select("node", "small", F.when(F.col("full") >= k, F.col("least")).otherwise(F.lit(NOTHING)).cast("float").alias("floor"))
         found = _introduce(around.join(known, "node"), k)
-        before, graph = graph, write_table(_nearest(graph.unionAll(found), k), "graph")
-        changed = graph.join(before, ["node", "other"], "left_anti").count()
+        graph = write_table(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), k), "graph")
+        changed = graph.where("fresh").count()
         if changed <= SETTLED * k * n:
             return graph
 
@@ -302,12 +312,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     Queries with one vector are searched once; each then leaves out its own row only.
     """
     nodes = write_table(nodes_of(vectors, id_col, vector_col, k + 1), "nodes")
-    wanted = _usable(vectors.where(is_query(F.col(id_col).cast("long"))), id_col, vector_col).select("id", _direction(F.col("vector")).alias("direction"))
-    members = write_table(wanted.join(nodes.select("node", "direction"), "direction").select("id", "node"), "members")
+    asking = _usable(vectors.where(is_query(F.col(id_col).cast("long"))), id_col, vector_col).withColumn("direction", _direction(F.col("vector")))
+    members = write_table(asking.join(nodes.select("node", "direction"), "direction").groupBy("id").agg(F.min_by("node", "vector").alias("node")), "members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", F.col("node").alias("start"))
     graph, beam = fitting_search(nodes, asked, k)
     found = search(nodes, graph, asked, k, beam)
-    every = found.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node")
+    every = found.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "vec_id")
     lists = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
     lists = write_table(lists, "lists")
