@@ -113,3 +113,13 @@ def test_map(spark):
     assert points.count() == 4 and tuple(mapview.bounds(points).first()) == (0.0, -2.0, 3.0, 4.0)
     assert {r.region: r.slot for r in mapview.palette(points).collect()} == {"Other": 0, "A": 1, "C": 2}
     assert mapview.palette(points.limit(0)).count() == 0 and points.where(F.col("id") == 3).count() == 0
+
+
+def test_detail_forecast_is_all_or_nothing(spark):
+    site = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "id long, latitude double, longitude double")
+    day = lambda k: F.to_date(F.lit(f"2024-01-0{k}"))
+    rows = [(1.0, 2.0, "2024-01-01", '{"date":"a","temp_max":3.0}'), (1.0, 2.0, "2024-01-02", "{}"), (1.0, 2.0, "2024-01-03", None), (3.0, 4.0, "2024-01-01", '{"date":"b"}')]
+    stored = spark.createDataFrame(rows, "lat double, lon double, day string, forecast string").withColumn("day", F.to_date("day"))
+    got = {r.site_id: [s.date for s in r.summaries] for r in requests.detail_forecast(site, stored, day(1), day(3)).collect()}
+    assert got == {1: ["a"], 2: []}
+    assert [len(r.summaries) for r in requests.detail_forecast(site.where("id = 2"), stored, day(1), day(1)).collect()] == [1]
