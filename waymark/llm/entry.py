@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, token_counts, token_store, toxic_crf
+from waymark.llm import byte_bpe, circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, token_counts, token_store, toxic_crf, whitening
 from waymark.llm.folds import held_out
 from waymark.llm.scratch import bounded_batches
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +70,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=(85, 100))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(whitening.on_grid(table(spark, sf_dir, "embeddings")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the bytes that the ids decode to."""
+    path = public_tokenizers.path(BYTE_RANKS)
+    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(bounded_batches(spark), sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates)
+    f.__name__: _bounded(f) for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates, op12_whitening, op13_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_preferences": r"""
