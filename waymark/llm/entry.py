@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, token_counts, token_store, toxic_crf, whitening
+from waymark.llm import byte_bpe, circulant, compress_lang, curriculum, nn_graph, packing, png_media, preferences, prefix_trie, token_counts, token_store, toxic_crf, whitening
 from waymark.llm.folds import held_out
 from waymark.llm.scratch import bounded_batches
 
@@ -70,6 +70,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=(85, 100))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations take up to eight first turns from the one with which their group of five begins."""
+    own = prefix_trie.number_turns(table(spark, sf_dir, "conversations"))
+    rebuilt = prefix_trie.with_heads(own, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, most=8)
+    return prefix_trie.prefix_trie(rebuilt)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(whitening.on_grid(table(spark, sf_dir, "embeddings")))
 
@@ -87,7 +94,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates, op12_whitening, op13_byte_bpe)
+    f.__name__: _bounded(f) for f in (op1_token_counts, op2_token_ids, op3_mix_sources, op4_language, op5_preferences, op6_toxicity, op7_neighbours, op8_pack, op9_media, op10_near_duplicates, op11_prefix_trie, op12_whitening, op13_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_preferences": r"""
@@ -108,6 +115,30 @@ select pair_id, any_value(n)::int as n_shared,
        coalesce(string_agg(span, ',' order by i) filter (where i > n and side = 0 and role = 'assistant'), '') as chosen_spans,
        coalesce(string_agg(span, ',' order by i) filter (where i > n and side = 1 and role = 'assistant'), '') as rejected_spans
 from q group by 1
+""",
+    "op11_prefix_trie": r"""
+with o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i,
+                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as t, strlen(coalesce(text, '')) as b
+           from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as head,
+             xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint),
+                             lambda a, x: list_reduce([xor(a, x)] || range(8), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 as h
+      from (select distinct conv_id from o)),
+r as (select c.conv_id, o.i, o.t, o.b from c join o on o.conv_id = c.head and o.i <= c.h
+      union all select c.conv_id, o.i + 100, o.t, o.b from c join o on o.conv_id = c.conv_id and o.i > c.h),
+-- Each conversation's prefixes, the empty one with them, and the bytes from a depth on.
+p as (select conv_id, row_number() over w as d, sha256(string_agg(t, ',') over w) as p, b,
+             sum(b) over (partition by conv_id order by i desc) as rest from r window w as (partition by conv_id order by i)
+      union all select c.conv_id, 0, '', 0, coalesce((select sum(b) from r where r.conv_id = c.conv_id), 0) from c),
+m as (select *, min(conv_id) over (partition by p, d) as owner, max(d) over (partition by conv_id) as len from p),
+k as (select q.p, q.d, count(distinct n.p) as n_children from m q left join m n on n.conv_id = q.conv_id and n.d = q.d + 1 group by 1, 2),
+-- Bytes of the distinct nodes from a depth on that a conversation owns, and whether it owns a leaf.
+w as (select m.*, k.n_children, sum(case when m.owner = m.conv_id then m.b else 0 end) over (partition by m.conv_id order by m.d desc) as owned,
+             max((m.owner = m.conv_id and k.n_children = 0)::int) over (partition by m.conv_id) as leaf from m join k on m.p = k.p and m.d = k.d)
+select any_value(w.owner) as conv_id, w.d::bigint as depth, any_value(u.owner) as parent_conv_id, count(*)::bigint as n_convs, any_value(w.n_children)::bigint as n_children,
+       sum(w.leaf)::bigint as n_leaves, (sum(w.rest) - sum(w.owned))::bigint as saved_tokens,
+       sha256(coalesce(string_agg(case when w.d = w.len then w.conv_id::varchar end, ',' order by w.conv_id), '')) as ends_sha256
+from w left join m u on u.conv_id = w.conv_id and u.d = w.d - 1 group by w.p, w.d
 """,
     "op3_mix_sources": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
