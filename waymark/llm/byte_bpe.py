@@ -36,8 +36,8 @@ NONE = np.int32(2**31 - 1)
 #: Widths of matrices; longer pre-tokens go one by one.
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 WIDEST = WIDTHS[-1]
-#: Places of one matrix, so that a batch of many pre-tokens stays within some MB.
-PLACES = 1 << 20
+#: Places of one matrix, and bytes of texts that are cut at a time: a worker's memory, however many texts a batch has.
+PLACES, TEXT_BYTES = 1 << 19, 2_000_000
 
 
 class PairTable:
@@ -79,7 +79,7 @@ class PairTable:
 
 
 class ByteBpe:
-    """Encodes batches of UTF-8 texts by a vocabulary ``{bytes: rank}`` and decodes ids."""
+    """Encodes batches of UTF-8 texts by a vocabulary ``{bytes: rank}``."""
 
     def __init__(self, ranks: dict[bytes, int], memo: Memo | None = None):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
@@ -89,25 +89,20 @@ class ByteBpe:
         splits = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         keys, values = np.array(splits, np.int64).reshape(-1, 2).T
         self.pairs = PairTable(keys, values.astype(np.int32))
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            by_id[r] = t
-        self.strings = pa.array(by_id, pa.binary())
-        self.known = np.array([bool(t) for t in by_id])
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, four bytes each."""
         out: list = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for k, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[k] = [whole]
+                out[k] = np.int32(whole).tobytes()
             elif len(p) > WIDEST:
                 out[k] = self._long(p)
             elif p:
                 by_width.setdefault(next(w for w in WIDTHS if w >= len(p)), []).append(k)
             else:
-                out[k] = []
+                out[k] = b""
         for width, rows in by_width.items():
             step = max(1, PLACES // width)
             for at in range(0, len(rows), step):
@@ -116,7 +111,7 @@ class ByteBpe:
                     out[k] = ids
         return out
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
+    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < sizes[:, None], self.of_byte[raw], NONE)
@@ -128,7 +123,7 @@ class ByteBpe:
             best = ranks[np.arange(len(rows)), place] if ranks.shape[1] else np.full(len(rows), NONE)
             settled = best == NONE
             for row, left in zip(rows[settled].tolist(), ids[settled], strict=True):
-                out[row] = left[: sizes[row]].tolist()
+                out[row] = left[: sizes[row]].tobytes()
             keep = ~settled
             rows, ids, ranks, place, best = rows[keep], ids[keep], ranks[keep], place[keep], best[keep]
             if not len(rows):
@@ -150,7 +145,7 @@ class ByteBpe:
             ranks[right, place[right]] = self.pairs.look_up(best[right], ids[right, place[right] + 1])
         return out
 
-    def _long(self, piece: bytes) -> list[int]:
+    def _long(self, piece: bytes) -> bytes:
         ids = self.of_byte[np.frombuffer(piece, np.uint8)]
         ranks = self.pairs.look_up(ids[:-1], ids[1:])
         while len(ranks) and (best := ranks.min()) != NONE:
@@ -172,13 +167,13 @@ class ByteBpe:
                 at = at[(at >= 0) & (at < len(ranks))]
                 ranks[at] = self.pairs.look_up(merged[at], merged[at + 1])
             ids = merged
-        return ids.tolist()
+        return ids.tobytes()
 
-    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces of ``cut``: those that aren't one pre-token for certain are cut by the pattern itself."""
         parts = [[p] if CERTAIN(p) else self.split(p) for p in pieces]
         ids = iter(self.merge(list(chain.from_iterable(parts))))
-        return [next(ids) if len(p) == 1 else list(chain.from_iterable(next(ids) for _ in p)) for p in parts]
+        return [next(ids) if len(p) == 1 else b"".join(next(ids) for _ in p) for p in parts]
 
     def split(self, text: bytes) -> list[bytes]:
         return [p.encode() for p in self.pretokens.findall(text.decode("utf-8", "replace"))]
@@ -198,13 +193,24 @@ class ByteBpe:
             which, keys = np.concatenate(runs), list(places)
             bounds = np.cumsum([0, *map(len, runs)])
         values = self.memo.look_up(keys, self._pieces)
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.fromiter(chain.from_iterable(values), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        flat = np.frombuffer(b"".join(values), np.int32)
         begins, counts = np.cumsum(sizes) - sizes, sizes[which]
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(begins[which] - ends[:-1], counts) + np.arange(ends[-1])]
         return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
 
+
+class Decoder:
+    """The bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            by_id[r] = t
+        self.strings = pa.array(by_id, pa.binary())
+        self.known = np.array([bool(t) for t in by_id])
+
     def decode(self, ids: pa.ListArray) -> pa.BinaryArray:
         """The bytes of each list of ids, one after the other; ``ValueError`` for an id that the vocabulary lacks."""
         flat = ids.flatten()
@@ -229,6 +235,11 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(load_ranks(path))
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(load_ranks(path))
+
+
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, ids`` (array of int) for every row of ``docs``; the scan's partitions, no shuffle.
 
@@ -239,7 +250,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str
         own = coder(path)
         for batch in it:
             texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, TEXT_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own.encode(texts[a:b])], names=["doc_id", "ids"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -250,7 +261,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` (binary) for rows as ``encode_texts`` gives them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = decoder(path)
         for batch in it:
             yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column(1))], names=["doc_id", "ids", "decoded"])
 
