@@ -38,6 +38,8 @@ WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64)
 WIDEST = WIDTHS[-1]
 #: Places of one matrix, and bytes of texts that are cut at a time: a worker's memory, however many texts a batch has.
 PLACES, TEXT_BYTES = 1 << 19, 2_000_000
+#: Bytes of a generation of remembered pre-tokens in a worker.
+MEMO_BYTES = 40 << 20
 
 
 class PairTable:
@@ -232,7 +234,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=2)
 def coder(path: str) -> ByteBpe:
     """One coder for each file in a worker process, kept across its tasks."""
-    return ByteBpe(load_ranks(path))
+    return ByteBpe(load_ranks(path), Memo(MEMO_BYTES))
 
 
 @lru_cache(maxsize=2)
@@ -240,21 +242,25 @@ def decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (array of int) for every row of ``docs``; the scan's partitions, no shuffle.
 
     ``path`` is a file of ranks at the same place on every machine; it cuts texts by ``pretokens.WITH_BLANK``.
+    ``decoded``: also the bytes that the ids decode to, in the same worker, as ``decode_ids`` gives them.
     """
+    names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in it:
             texts = batch.column(1).to_pylist()
             for a, b in batches(texts, TEXT_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own.encode(texts[a:b])], names=["doc_id", "ids"])
+                ids = own.encode(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, *([decoder(path).decode(ids)] if decoded else [])], names=names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode_ids(rows: DataFrame, path: str) -> DataFrame:

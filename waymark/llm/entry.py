@@ -84,7 +84,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the bytes that the ids decode to."""
     path = public_tokenizers.path(BYTE_RANKS)
-    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    rows = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
