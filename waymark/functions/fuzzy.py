@@ -144,3 +144,8 @@ def partial_to(x: Column, q: str) -> Column:
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Ratio of the sorted tokens of two columns."""
     return _vectorised(ratio, sorted_tokens(a), sorted_tokens(b))
+
+
+def ratio_of(a: Column, b: Column) -> Column:
+    """``ratio`` of two columns."""
+    return _vectorised(ratio, a, b)

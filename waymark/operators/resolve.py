@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import fuzzy, text
+from waymark.operators.similar import similar_names
 
 #: Accepted kind of facility and lowest accepted score.
 KIND = "Campground"
@@ -59,6 +60,30 @@ def best_match(sites: DataFrame, candidates: DataFrame, accept: float = ACCEPT,
     return best.select("site_id", F.col("m.facility").alias("facility"), F.col("m.score").alias("score"))
 
 
+def match_unlisted(sites: DataFrame, facilities: DataFrame, accept: float = ACCEPT, kind: str | None = KIND, suffix: str = " campground") -> DataFrame:
+    """``site_id, facility, score`` as ``best_match``, where nobody has listed candidates: every facility is one for every site.
+
+    ``sites``: id, name, forest_name; ``facilities``: pos (decides between equal scores), facility. Names meet by
+    ``similar_names``. Sites of one name and forest are one question, and facilities of one name and areas one answer (the
+    first of them), so a name that a third of all rows have doesn't multiply.
+    """
+    f = F.col("facility")
+    wanted = F.coalesce(f["Reservable"], F.lit(False))
+    if kind is not None:
+        wanted &= F.coalesce(f["FacilityTypeDescription"] == kind, F.lit(False))
+    tokens = lambda c: fuzzy.sorted_tokens(text.normalize_name(c, suffix))
+    named = sites.select(F.col("id").alias("site_id"), tokens(F.col("name")).alias("a"), "forest_name")
+    asked = named.groupBy("a", "forest_name").agg(F.count("*").alias("n")).drop("n")
+    offered = facilities.where(wanted).select("pos", "facility", tokens(f["FacilityName"]).alias("b"), f["RECAREA"].alias("areas"))
+    offered = offered.groupBy("b", "areas").agg(F.min_by(F.struct("pos", "facility"), "pos").alias("o"))
+    found = similar_names(asked, offered, "a", "b", accept)
+    pairs = asked.join(found, "a").join(offered, "b").where(in_areas(F.col("areas"), F.col("forest_name")))
+    pick = F.max_by(F.struct("o.facility", "score"), F.struct("score", (-F.col("o.pos")).alias("p")))
+    best = pairs.groupBy("a", "forest_name").agg(pick.alias("m")).withColumnRenamed("forest_name", "forest")
+    rows = named.join(best.withColumnRenamed("a", "_a"), (F.col("a") == F.col("_a")) & F.col("forest_name").eqNullSafe(F.col("forest")))
+    return rows.select("site_id", F.col("m.facility").alias("facility"), F.col("m.score").alias("score"))
+
+
 def images_of(matches: DataFrame) -> DataFrame:
     """``site_id, image_url, description`` of the matched facilities' media of kind Image."""
     media = F.filter(F.coalesce(F.col("facility.MEDIA"), F.array().cast("array<struct<MediaType:string,URL:string,Title:string>>")), lambda m: m["MediaType"] == "Image")

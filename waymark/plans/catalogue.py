@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import dates, display, fuzzy, text, weather
 from waymark.operators import changes, mapview, resolve, search
+from waymark.plans import joins  # noqa: F401  registers its queries
 from waymark.plans import oracle as o
+from waymark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from waymark.sources import pages, tables
 from waymark.streaming import latest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def catalogue(spark: SparkSession, root: str, status=tables.status) -> search.Tables:
     return search.Tables(tables.sites(spark, root), status(spark, root), tables.weather(spark, root), tables.amenities(spark, root))
 
