@@ -67,11 +67,64 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """Write ``df``, which may read the table itself, as its next version. Until that is whole readers get the one before."""
-    version = max(versions(df.sparkSession, path), default=-1) + 1
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{version}")
-    return version
+class ConcurrentWrite(RuntimeError):
+    """Another writer has the next version of a table, or has finished it."""
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and how to name files of it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    return name(path).getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def write_version(df: DataFrame, path: str, base: int | None = None) -> int:
+    """Write ``df``, which may read the table itself, as the version after ``base``; until that is whole readers get the one before.
+
+    ``base``: the version that ``df`` was made from (-1: there was none); by default the last one. The next number is claimed by a file that
+    only one writer can create, so of two writers with one base the second gets ``ConcurrentWrite``, as does a writer
+    whose base is no longer the last version: no change gets lost. If the write fails its files and claim go, and the error is
+    raised. The claim of a writer that died stays until ``release`` takes it.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    last = max(versions(spark, root), default=-1)
+    base = last if base is None else base
+    if base != last:
+        raise ConcurrentWrite(f"made from version {base}, but {root} is at version {last}")
+    store, name = _store(spark, root)
+    claim, target = name(f"{root}/_claims/v{base + 1}"), f"{root}/v{base + 1}"
+    if not store.createNewFile(claim):
+        raise ConcurrentWrite(f"version {base + 1} of {root} has a writer")
+    try:
+        df.write.mode("overwrite").parquet(target)
+    except BaseException:
+        store.delete(name(target), True)
+        store.delete(claim, False)
+        raise
+    return base + 1
+
+
+def release(spark: SparkSession, path: str) -> list[int]:
+    """Take back the claims of versions that were never finished, and their files; only when no writer is at work."""
+    root = path.rstrip("/")
+    store, name = _store(spark, root)
+    claimed = {int(f.getPath().getName()[1:]) for f in store.globStatus(name(f"{root}/_claims/v*")) or []}
+    dead = sorted(claimed - set(versions(spark, root)))
+    for v in dead:
+        store.delete(name(f"{root}/v{v}"), True)
+        store.delete(name(f"{root}/_claims/v{v}"), False)
+    return dead
+
+
+def whole_entities(rows: DataFrame, key: str, fault: Column) -> tuple[DataFrame, DataFrame]:
+    """An entity's rows are taken together or not at all: ``(rows of entities without fault, key and faults of the others)``.
+
+    ``fault``: a text for a row that can't be taken, null for one that can. Rows without a key belong to no entity and
+    are refused one by one. Keys with a fault are the short side of a join, and are combined before the shuffle.
+    """
+    marked = rows.withColumn("_fault", F.when(F.col(key).isNull(), F.coalesce(fault, F.lit("no key"))).otherwise(fault))
+    bad = marked.where("_fault is not null").groupBy(key).agg(F.sort_array(F.collect_set("_fault")).alias("faults"), F.count("*").alias("n_faults"))
+    good = rows.where(F.col(key).isNotNull()).join(bad.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+    return good, bad
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import dates, display, fuzzy, text, weather
 from waymark.operators import changes, mapview, resolve, search
-from waymark.plans import joins  # noqa: F401  registers its queries
+from waymark.plans import joins, runs  # noqa: F401  register their queries
 from waymark.plans import oracle as o
 from waymark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from waymark.sources import pages, tables
