@@ -155,3 +155,63 @@ def test_pack_rows(spark):
     assert b"".join(p for _, p in pieces) == whole and all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
     assert sum(r.length for r in rows) == len(whole) // 4 + 4 + 1 + 1 + 2
     assert packing.pack_documents(docs.limit(0), WORD).count() == 0
+
+
+def numbered(spark, n, longest):
+    return spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(1 + i * 7 % longest)), i % 3) for i in range(n)], "doc_id long, text string, source int")
+
+
+def sequences(pieces, window=2048):
+    """Checks that every sequence is whole and every document covered; the documents of each sequence by its id."""
+    by, covered = {}, {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        own = by.setdefault(p.sequence_id, [])
+        assert p.offset == sum(x.length for x in own)
+        own.append(p)
+        covered[p.doc_id] = covered.get(p.doc_id, 0) + p.length
+    for own in by.values():
+        size = sum(p.length for p in own)
+        assert size == window or (size < window and size & (size - 1) == 0)
+    return {s: [p.doc_id for p in own] for s, own in by.items()}, covered
+
+
+def test_stored_order_of_folders(spark, tmp_path):
+    """A table by folders has files of one name in each."""
+    numbered(spark, 300, 400).coalesce(2).write.partitionBy("source").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert len({f.rsplit("/", 1)[-1] for f in stored.inputFiles()}) < len(stored.inputFiles())
+    pieces = packing.pack_documents(stored, WORD, stored_order=True).collect()
+    by, covered = sequences(pieces)
+    assert covered == {p.doc_id: p.doc_tokens for p in pieces} and len(covered) == 300
+    source = [max(d % 3 for d in by[s]) for s in sorted(by)]
+    assert source == sorted(source)
+
+
+def test_stored_order_of_small_splits(spark, tmp_path):
+    """Splits under a MB of one file, repeated rows and null ids."""
+    docs = numbered(spark, 900, 900).repartition(1).sortWithinPartitions("doc_id")
+    docs = docs.unionAll(docs.where("doc_id < 5")).unionAll(docs.limit(3).selectExpr("cast(null as long)", "text", "source")).coalesce(1)
+    docs.write.option("parquet.block.size", 40_000).option("parquet.page.size", 5_000).option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        stored = spark.read.parquet(f"{tmp_path}/t")
+        assert stored.select("_metadata.file_block_start").distinct().count() > 5
+        rows = packing.pack_documents(stored, WORD, stored_order=True)
+        pieces = rows.collect()
+        again = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by, covered = sequences(pieces)
+    assert sorted(map(str, pieces)) == sorted(map(str, again))
+    total = {p.doc_id: p.doc_tokens for p in pieces}
+    assert all(covered[d] == n * (2 if d is not None and d < 5 else 1) for d, n in total.items() if d is not None) and None in covered
+    means = [sum(d or 0 for d in by[s]) / len(by[s]) for s in sorted(by)]
+    assert sum(b < a - 300 for a, b in zip(means, means[1:], strict=False)) <= 3
+
+
+def test_too_many_sequences():
+    packer = packing.Packer(4, 0, most=1)
+    packer.add(1, bytes(16))
+    with pytest.raises(ValueError):
+        packer.add(2, bytes(16))

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.bloom import Bloom
 from waymark.llm.pretokens import batches
 from waymark.llm.scratch import write_table
 
@@ -334,7 +335,9 @@ def verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, share
     large = write_table(sizes.where("blocks > 1"), "large")
     dealt = write_table(members.join(large, "label", "left").select("label", "node", "rep", "rep_key", F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
     texts = _texts(docs, text_col, id_col).withColumnsRenamed({"doc_id": "rep", "text_key": "rep_key"})
-    # A merge join at every size: the list of representatives grows with the input, so it is never broadcast.
+    # Only texts that may be on the list are shuffled; most are not. A merge join at every size: the list of
+    # representatives grows with the input, so it is never broadcast.
+    texts = texts.where(Bloom(dealt, ["rep", "rep_key"]).maybe("rep", "rep_key"))
     # Rows that repeat both id and text become one before they meet their node.
     texts = texts.join(dealt.select("rep", "rep_key").hint("merge"), ["rep", "rep_key"], "left_semi").groupBy("rep", "rep_key").agg(F.first("text").alias("text"))
     held = write_table(dealt.join(texts, ["rep", "rep_key"]).drop("rep", "rep_key"), "texts")

@@ -14,7 +14,7 @@ each; a very long text is cut into full windows, however many; an empty table gi
 looked at. Two runs over the same files with the same settings give the same pieces. Sequence ids are the task's number
 times 2^36 plus a counter, so a task that runs again gives the same ones. With ``stored_order`` a task's number
 tells nothing about the order of its rows (scans deal splits by size), so every split of a file is packed on its own
-and its ids begin with the file's place among the part files and the split's place in the file.
+and its ids begin with the place of the split in the list of all (path, start), which a scan of no columns makes first.
 """
 
 from __future__ import annotations
@@ -33,15 +33,15 @@ from waymark.llm.pretokens import batches
 from waymark.llm.wordids import encoder
 
 MAX_OPEN = 4096
-#: With ``stored_order``: bits of the counter, and of a split's place in its file (in MB; splits are larger) above them.
-COUNTER_BITS, PLACE_BITS = 30, 13
+#: With ``stored_order``: bits of the counter within a split, and of the split's place above them; more is an error.
+COUNTER_BITS, PLACE_BITS = 38, 24
 
 
 class Packer:
     """Sum-of-squares packing of byte strings of 32-bit ids. ``done`` gets (key, start, ids, total, sequence, offset)."""
 
-    def __init__(self, window: int, first_sequence: int, max_open: int = MAX_OPEN):
-        self.window, self.next, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int, first_sequence: int, max_open: int = MAX_OPEN, most: int = 1 << 36):
+        self.window, self.next, self.max_open, self.last = window, first_sequence, max_open, first_sequence + most
         self.level = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]  # by fill; each window a list of pieces
         self.n_open, self.done = 0, []
@@ -52,6 +52,8 @@ class Packer:
             self.done.append((key, start, ids, total, self.next, offset))
             offset += len(ids) // 4
         self.next += 1
+        if self.next > self.last:
+            raise ValueError("more sequences than ids in one split")
 
     def add(self, key, ids: bytes) -> None:
         total, w = len(ids) // 4, 4 * self.window
@@ -136,10 +138,13 @@ def is_stored(docs: DataFrame) -> bool:
     return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
 
 
-def _part_order(docs: DataFrame) -> dict[str, int]:
-    """The place of each file name in the order in which its writer numbered the files."""
-    names = {f.rsplit("/", 1)[-1] for f in docs.inputFiles()}
-    return {name: k for k, name in enumerate(sorted(names, key=lambda x: [int(n) if n.isdigit() else n for n in re.split(r"(\d+)", x)]))}
+def _split_order(docs: DataFrame) -> dict[tuple[str, int], int]:
+    """The place of each split, by path (numbers in it as numbers) and first byte. One entry a split, whatever its rows."""
+    splits = docs.select("_metadata.file_path", "_metadata.file_block_start").distinct().collect()
+    by_number = lambda x: ([(1, int(n), "") if n.isdigit() else (0, 0, n) for n in re.split(r"(\d+)", x[0])], x[1])
+    if len(splits) >> PLACE_BITS:
+        raise ValueError(f"{len(splits)} splits are more than {1 << PLACE_BITS}: read the table in larger ones")
+    return {s: k for k, s in enumerate(sorted(map(tuple, splits), key=by_number))}
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, max_open: int = MAX_OPEN, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False) -> DataFrame:
@@ -150,7 +155,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     ``stored_order``: ``docs`` is a stored table, and sequence ids follow the order of its part files.
     ``max_open`` bounds a task's memory: with fewer open windows more documents are cut at their seams.
     """
-    part = _part_order(docs) if stored_order else {}
+    place = docs.sparkSession.sparkContext.broadcast(_split_order(docs)) if stored_order else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, split = encoder(path), Packer(window, TaskContext.get().partitionId() << 36, max_open), None
@@ -185,8 +190,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
                 packer.settle()
                 if packer.done:
                     yield flush()
-                split, (name, at) = key, key
-                packer = Packer(window, ((part[name] << PLACE_BITS) + (at >> 20)) << COUNTER_BITS, max_open)
+                split = key
+                packer = Packer(window, place.value[key] << COUNTER_BITS, max_open, 1 << COUNTER_BITS)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
                 for d, ids in zip(doc_ids[a:b], encode.encode(texts[a:b]), strict=True):
@@ -197,5 +202,5 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         if packer.done:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *([F.col("_metadata.file_name"), F.col("_metadata.file_block_start")] if stored_order else []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *([F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if stored_order else []))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
