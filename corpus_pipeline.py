@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import circulant, compress_lang, curriculum, packing, toxic_crf
+from waymark.llm.bloom import Bloom
 from waymark.llm.folds import held_out
 from waymark.llm.scratch import bounded_batches, write_table
 
@@ -37,13 +38,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     bounded_batches(spark)
     row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    groups = write_table(circulant.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row").select(F.col("doc_id").alias("_row"), "kept"), "rows")
-    repeated = groups.where("kept").groupBy("_row").count().where("count > 1").select("_row")
-    # What goes is less than what stays, so texts meet the short list; only repeated rows are shuffled as texts.
-    gone = groups.where("not kept").select("_row").unionAll(repeated).distinct()
-    rows = docs.withColumn("_row", row)
-    once = rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return rows.join(gone, "_row", "left_anti").unionByName(once).select(*docs.columns)
+    groups = circulant.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row")
+    groups = write_table(groups.select(F.col("doc_id").alias("row"), "kept"), "rows")
+    repeated = groups.where("kept").groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("again"))
+    listed = write_table(groups.where("not kept").select("row", F.lit(False).alias("again")).distinct().unionAll(repeated), "listed")
+    # Only rows that may be on the list are shuffled; all others stay where they are.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("at"))
+    maybe = Bloom(listed, ["row"]).maybe("at")
+    asked = whole.where(maybe).join(listed, F.col("at") == F.col("row"), "left")
+    once = asked.where("again").dropDuplicates(["at"])
+    return whole.where(~maybe).select("doc.*").unionAll(asked.where("again is null").select("doc.*")).unionAll(once.select("doc.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
