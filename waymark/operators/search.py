@@ -28,8 +28,13 @@ class Tables:
 
 def filtered(t: Tables, is_open: bool | None = None, has_water: bool | None = None, has_restrooms: bool | None = None, forest: str | None = None) -> DataFrame:
     """The denormalised rows. A flag only filters when true; ``forest`` is a contains-pattern with wildcards."""
-    c, s, w, a = t.sites.alias("c"), t.status.alias("s"), t.weather.alias("w"), t.amenities.alias("a")
-    rows = c
+    return _with_children(t.sites.alias("c"), t, is_open, has_water, has_restrooms, forest).select(*map(F.col, COLUMNS))
+
+
+def _with_children(sites: DataFrame, t: Tables, is_open, has_water, has_restrooms, forest) -> DataFrame:
+    """Rows of ``sites`` (aliased ``c``), whose columns all stay, with their children's."""
+    s, w, a = t.status.alias("s"), t.weather.alias("w"), t.amenities.alias("a")
+    rows = sites
     for child, name in ((s, "s"), (w, "w"), (a, "a")):
         rows = rows.join(child, F.col("c.id") == F.col(f"{name}.campsite_id"), "left")
     wanted: Column = F.lit(True)
@@ -42,11 +47,24 @@ def filtered(t: Tables, is_open: bool | None = None, has_water: bool | None = No
     if forest:
         wanted &= F.lower("c.forest_name").like(text.like_pattern(forest))
     return rows.where(wanted).select(
-        "c.id", "c.name", "c.forest_name", "c.latitude", "c.longitude", "s.is_open", F.col("w.forecast_json").alias("forecast"),
-        F.coalesce("a.water", F.lit(False)).alias("has_water"), F.coalesce("a.restrooms", F.lit(False)).alias("has_restrooms"),
+        "c.*", "s.is_open", F.col("w.forecast_json").alias("forecast"), F.coalesce("a.water", F.lit(False)).alias("has_water"), F.coalesce("a.restrooms", F.lit(False)).alias("has_restrooms"),
     )
 
 
+def matching(t: Tables, is_open: bool | None = None, has_water: bool | None = None, has_restrooms: bool | None = None, forest: str | None = None) -> DataFrame:
+    """The sites that have a row in ``filtered``, each once: children are only asked whether they are there."""
+    rows = t.sites.select(*COLUMNS[:5])
+    if forest:
+        rows = rows.where(F.lower("forest_name").like(text.like_pattern(forest)))
+    if is_open:
+        rows = rows.join(t.status.where("is_open").select(F.col("campsite_id").alias("_s")), F.col("id") == F.col("_s"), "left_semi")
+    # One amenity row has to meet both wishes.
+    wanted = [c for c, flag in (("water", has_water), ("restrooms", has_restrooms)) if flag]
+    if wanted:
+        rows = rows.join(t.amenities.where(" and ".join(wanted)).select(F.col("campsite_id").alias("_a")), F.col("id") == F.col("_a"), "left_semi")
+    return rows
+
+
 def site_score(name: Column, q: str) -> Column:
     """The better of the ratio and the length-adjusted partial ratio; over 100 where the query is longer than the name."""
     share = F.when(F.length(name) > 0, F.lit(float(len(q))) / F.length(name)).otherwise(F.lit(1.0))
@@ -86,41 +104,57 @@ def search(t: Tables, query: str | None = None, *, is_open=None, has_water=None,
     best forest beats the best site, the sites of the forest nearest to the query; otherwise all sites at or
     above the threshold. Rows of equal scores follow the site's id, then its other columns.
     """
-    rows = filtered(t, is_open, has_water, has_restrooms, forest)
-    no = F.lit(False)
-    pos = F.struct("id", F.coalesce("is_open", no).alias("o"), F.coalesce("forecast", F.lit("")).alias("f"), "has_water", "has_restrooms")
-    if dedupe:
-        rest = [c for c in COLUMNS if c != "id"]
-        rows = rows.groupBy("id").agg(F.min_by(F.struct(*rest), pos).alias("r")).select("id", "r.*")
+    sites = matching(t, is_open, has_water, has_restrooms, forest)
     if not query:
-        order = [F.coalesce("forest_name", F.lit("")), "name", pos]
-        return rows.select(*COLUMNS[:5], F.lit(None).cast("double").alias("score"), *COLUMNS[5:]).orderBy(*order).limit(limit)
-    sites = t.sites.where(F.lower("forest_name").like(text.like_pattern(forest))) if forest else t.sites
-    rows = scored(rows, sites, query).withColumn("pos", pos)
+        first = [F.coalesce("forest_name", F.lit("")), F.col("name")]
+        # A page of rows holds no other sites than the first so many, so children are joined to these only.
+        page = sites.withColumns({"score": F.lit(None).cast("double"), "mode": F.lit("name")}).orderBy(*first, "id").limit(limit)
+        order = [*first, _pos()]
+    else:
+        page = _best_sites(scored(sites, t.sites, query), fuzzthresh).orderBy(F.desc("score"), "id").limit(limit)
+        order = [F.desc("score"), _pos()]
+    ids = page.select(F.col("id").alias("_page"))
+    shown = Tables(page, *(_of_page(child, ids) for child in (t.status, t.weather, t.amenities)))
+    rows = _with_children(page.alias("c"), shown, is_open, has_water, has_restrooms, None)
+    if dedupe:
+        rest = [c for c in rows.columns if c != "id"]
+        rows = rows.groupBy("id").agg(F.min_by(F.struct(*rest), _pos()).alias("r")).select("id", "r.*")
+    best = rows.orderBy(*order).limit(limit)
+    # An exact hit is one row, also where equal rows fan out; the window sees the rows of one page only.
+    best = best.withColumn("place", F.row_number().over(Window.orderBy(*order))).where("mode <> 'exact' or place = 1")
+    return best.orderBy("place").select(*COLUMNS[:5], "score", *COLUMNS[5:])
+
+
+def _pos() -> Column:
+    return F.struct("id", F.coalesce("is_open", F.lit(False)).alias("o"), F.coalesce("forecast", F.lit("")).alias("f"), "has_water", "has_restrooms")
+
+
+def _of_page(child: DataFrame, ids: DataFrame) -> DataFrame:
+    """The children of the sites of one page: at most ``limit`` ids, which every task may hold."""
+    return child.join(F.broadcast(ids), F.col("campsite_id") == F.col("_page"), "left_semi")
+
+
+def _best_sites(rows: DataFrame, fuzzthresh: float) -> DataFrame:
+    """The rows of ``scored`` sites that the query's mode keeps, with the ``mode``."""
     exact = (F.col("score") == 100) & (F.col("forest_score") != 100)
     near = F.col("forest_score") >= fuzzthresh
     facts = rows.agg(
-        F.min(F.when(exact, F.col("pos"))).alias("exact"),
+        F.min(F.when(exact, F.col("id"))).alias("exact"),
         F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.0)).alias("best_site"),
         F.greatest(F.coalesce(F.max("forest_score"), F.lit(0.0)), F.lit(0.0)).alias("best_forest"),
-        F.max(F.when(near, F.col("forest_part"))).alias("part"),
         # Of forests with the best partial ratio the one that comes first.
         F.max_by(F.struct("forest_name"), F.when(near, F.struct("forest_part", (-F.col("id")).alias("p")))).alias("forest"),
     )
     by_forest = (F.col("best_forest") >= fuzzthresh) & (F.col("best_forest") > F.col("best_site"))
     mode = F.when(F.col("exact").isNotNull(), "exact").when(by_forest, "forest").otherwise("name")
-    # One row of facts decides what is kept; it is a scalar subquery, so the rows stay one distributed scan.
+    # One row of facts decides what is kept; it is a scalar subquery, so nothing is collected.
     decided = rows.withColumn("d", facts.select(F.struct(mode.alias("mode"), "exact", "forest")).scalar())
     keep = (
-        F.when(F.col("d.mode") == "exact", F.col("pos") == F.col("d.exact"))
+        F.when(F.col("d.mode") == "exact", F.col("id") == F.col("d.exact"))
         .when(F.col("d.mode") == "forest", near & F.col("forest_name").eqNullSafe(F.col("d.forest.forest_name")))
         .otherwise(F.col("score") >= fuzzthresh)
     )
-    best = decided.where(keep).orderBy(F.desc("score"), "pos").limit(limit)
-    # An exact hit is one row, also where equal rows fan out; the window sees the rows of one page only.
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "pos"))
-    shown = best.withColumn("place", place).where((F.col("d.mode") != "exact") | (F.col("place") == 1))
-    return shown.orderBy("place").select(*COLUMNS[:5], "score", *COLUMNS[5:])
+    return decided.where(keep).select(*COLUMNS[:5], "score", F.col("d.mode").alias("mode"))
 
 
 def by_name(t: Tables, query: str, fuzzthresh: float = 40, limit: int = 10) -> DataFrame:
