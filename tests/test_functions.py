@@ -99,3 +99,16 @@ def test_display(spark):
     assert values(n.limit(1), display.box(F.lit(None), F.lit(1.0))) == [None]
     line = weather.weather_line(F.lit("cloudy"), F.lit(2.5), F.lit(0.5), F.lit(None).cast("double"))
     assert values(n.limit(1), line) == ["cloudy · High 2.0° / Low 0.0°"]
+
+
+def test_rounding_is_of_the_binary_value(spark):
+    import random
+
+    from waymark.functions import weather
+
+    rnd = random.Random(2)
+    values = [2.675, -2.675, 1.005, 0.125, 0.375, -0.125, 0.0, 1e9 + 0.005, 8.345, 0.285, 1.115, 4.35, 2.5e-3, 7.5e-3] + [rnd.randrange(-99999, 99999) / 1000 for _ in range(3000)] + [rnd.uniform(-5, 5) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.y for r in df.select(weather.round_binary(F.col("x")).alias("y")).collect()]
+    assert got == [round(v, 2) for v in values]
+    assert spark.createDataFrame([(None,)], "x double").select(weather.round_binary(F.col("x")).alias("y")).first().y is None

@@ -117,3 +117,15 @@ def test_stream_rewrites_only_touched_buckets(spark, tmp_path):
     got = {r.k: (r.t, r.v) for r in latest.current(spark, target, like).collect()}
     assert got == {**{k: (1, "a") for k in range(40)}, 3: (2, "b"), 99: (5, "n")}
     assert len(list((tmp_path / "out" / "data" / "batch=1").glob("bucket=*"))) <= 2
+
+
+def test_csv_of_all_parks(spark, tmp_path):
+    rows = spark.createDataFrame([("r05/a b", "y", None), ("r05/a b", "x", 'q"u,o\nte'), ("ü", "z", "")], "slug string, name string, v string")
+    back = changes.write_csvs(rows, str(tmp_path / "c"), "slug", ["name"])
+    got = sorted((r.slug, r._c0, r.name, r.v or "") for r in back.collect())
+    assert back.columns == ["_c0", "slug", "name", "v"] and got == [("r05/a b", "0", "x", 'q"u,o\nte'), ("r05/a b", "1", "y", ""), ("ü", "0", "z", "")]
+    assert all(len(list(d.glob("part-*"))) == 1 for d in (tmp_path / "c").glob("slug=*"))
+    import pytest
+
+    with pytest.raises(ValueError):
+        changes.write_csvs(rows.unionAll(spark.createDataFrame([(None, "n", "v")], rows.schema)), str(tmp_path / "d"), "slug", ["name"])

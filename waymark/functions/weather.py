@@ -58,9 +58,26 @@ def summary(stored: Column, clouds: str = "cloud_cover_afternoon") -> Column:
     return F.get(F.transform(parsed, of), F.lit(0))
 
 
+def round_binary(x: Column, places: int = 2) -> Column:
+    """``x`` to so many places (1 to 5) by its exact binary value, halves to even: 2.675, which lies below its text, gives 2.67.
+
+    Only where the text of the number ends in a 5 behind the places can the two differ. There the exact product with a
+    power of ten, as a rounded one and its error, tells on which side of the text the number lies.
+    """
+    scale = float(10 ** (places + 1))
+    texts = F.round(x * scale, 0)
+    tie = (F.pmod(F.abs(texts), F.lit(10.0)) == 5) & (texts / scale == x) & (F.abs(texts) < 2.0**50)
+    wide = x * 134217729.0  # splits the 53 bits of a double in two halves, whose products with the scale are exact
+    high = wide - (wide - x)
+    product = x * scale
+    above = (product - texts) + ((high * scale - product) + (x - high) * scale)
+    near = lambda d: (texts + d) / 10 / (scale / 10)
+    return F.when(tie & (above > 0), near(5.0)).when(tie & (above < 0), near(-5.0)).otherwise(F.bround(x, places))
+
+
 def weather_line(sky_: Column, high: Column, low: Column, precip: Column) -> Column:
     """The line of a result card: sky, rounded high and low if both are there, precipitation with two places."""
     one = lambda x: F.bround(x, 0).cast("decimal(20,1)").cast("string")
     degrees = F.when(high.isNotNull() & low.isNotNull(), F.concat(F.lit("High "), one(high), F.lit("° / Low "), one(low), F.lit("°")))
-    wet = F.when(precip.isNotNull(), F.concat(F.bround(precip, 2).cast("string"), F.lit(" in precip")))
+    wet = F.when(precip.isNotNull(), F.concat(round_binary(precip).cast("string"), F.lit(" in precip")))
     return F.concat_ws(" · ", F.nullif(sky_, F.lit("")), degrees, wet)

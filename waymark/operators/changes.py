@@ -151,6 +151,28 @@ def write_csv(df: DataFrame, path: str, slug: str, order: list[str] | None = Non
     return back.toDF("_c0", *df.columns)
 
 
+def write_csvs(df: DataFrame, path: str, slug_col: str, order: list[str]) -> DataFrame:
+    """``write_csv`` of all slugs in one job: a folder ``<slug_col>=<slug>`` with one file for each; returns what was read back.
+
+    Rows are numbered from 0 in ``order`` within their slug. Rows without a slug go to no file and are refused
+    (``ValueError``), as is a slug whose file holds another number of rows (``OSError``): both name at most ten.
+    """
+    if not df.where(F.col(slug_col).isNull()).isEmpty():
+        raise ValueError(f"rows without {slug_col}")
+    rest = [c for c in df.columns if c != slug_col]
+    numbered = df.withColumn("_c0", F.row_number().over(Window.partitionBy(slug_col).orderBy(*order)) - 1)
+    head = numbered.select(slug_col, F.col("_c0").alias(" "), *rest)
+    # Numbering has brought each slug's rows together, in order, so each folder gets one file.
+    head.write.mode("overwrite").partitionBy(slug_col).option("header", True).option("escape", '"').csv(path)
+    schema = ", ".join(["` ` string", *(f"`{c}` string" for c in rest), f"`{slug_col}` string"])
+    back = df.sparkSession.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    counts = [x.groupBy(F.col(slug_col).cast("string").alias("slug")).agg(F.count("*").alias(n)) for x, n in ((df, "n"), (back, "m"))]
+    wrong = counts[0].join(counts[1], "slug", "full").where(~F.col("n").eqNullSafe(F.col("m"))).limit(10).collect()
+    if wrong:
+        raise OSError(f"rows are missing in {path}: {[r.slug for r in wrong]}")
+    return back.withColumnRenamed(" ", "_c0").select("_c0", *df.columns)
+
+
 #: Columns of the scraped files and of the table they go to; None: not in the files (fixed values).
 CSV_COLUMNS = {
     "name": "site_name",

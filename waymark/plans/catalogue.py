@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions import dates, display, fuzzy, text, weather
 from waymark.operators import changes, mapview, resolve, search
-from waymark.plans import joins, runs  # noqa: F401  register their queries
+from waymark.plans import joins, requests, runs  # noqa: F401  some register their queries
 from waymark.plans import oracle as o
 from waymark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from waymark.sources import pages, tables
+from waymark.sources.shared import new_path
 from waymark.streaming import latest
 
 def catalogue(spark: SparkSession, root: str, status=tables.status) -> search.Tables:
@@ -546,6 +547,66 @@ def collect_sites(spark, root):
     return rows.select("site_url", "park_url", "page_no", "place", "park_name", "site_name", "season_of_use", "latitude", "directions", "amenities", "body_of_water")
 
 
+_WOODS = "'woods/' || p_brand"
+
+
+@query(
+    "with s as (select p_brand as park_url, p_partkey as k, p_name as site_name, p_size, p_type, p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as r from part) "
+    "select 'http://site/' || k as site_url, 'May to ' || p_type as season_of_use, case when p_size % 3 = 0 then p_size || ' a night' end as fee_info, 'Call ' || p_brand as contact_info, case when p_size % 4 <> 0 then 'At ' || site_name end as info_center, "
+    "k || '.5' as latitude, '-' || p_size as longitude, 'From ' || p_type as directions, case when p_size % 2 = 0 then 'Restroom: ' || p_type end as restrooms, case when p_size % 2 = 1 then 'Drinking WATER at ' || site_name end as water, "
+    "'Nice ' || site_name as overview, case when p_size % 5 = 0 then p_type when p_size % 5 = 1 then '' when p_size % 5 = 2 then 'tables' when p_size % 5 = 3 then '- ' || site_name || chr(10) || '- ring' || chr(10) end as amenities, p_size % 7 = 0 as body_of_water from s"
+)
+def collect_details(spark, root):
+    """Every field of detail pages made of the parts: all labels, both blocks, the overview, and the four ways to amenities."""
+    p = tables.read(spark, root, "part")
+    accordion = lambda words, inner, there: F.when(there, F.format_string(f"<h3><button>{words}</button></h3><div>%s</div>", inner)).otherwise("")
+    size, every = F.col("p_size"), F.lit(True)
+    described = F.concat(F.format_string("<p>Overview</p><p>Nice %s</p>", "p_name"), F.when(size % 5 == 0, F.format_string("<p>Amenities: %s</p>", "p_type")).otherwise(""))
+    general = F.when(size % 5 == 1, "<p>Hours</p>").when(size % 5 == 2, "<p>Amenities: tables</p>").when(size % 5 == 3, F.format_string("<p>Amenities:</p><ul><li>%s</li><li> ring</li></ul>", "p_name"))
+    html = F.concat(
+        accordion("Seasons of Use", F.concat(F.lit("May to "), "p_type"), every),
+        accordion("Fee Site and Info", F.concat(size.cast("string"), F.lit(" a night")), size % 3 == 0),
+        accordion("Contact Information", F.concat(F.lit("Call "), "p_brand"), every),
+        accordion("Information Center", F.concat(F.lit("At "), "p_name"), size % 4 != 0),
+        F.lit("<div class='margin-top-5'><h2>Weather</h2><p>Latitude: 0</p></div>"),
+        F.format_string("<div class='margin-top-5'><h2>Getting There</h2><p>Latitude: %d.5</p><p>Longitude: -%d</p><p>From %s</p></div>", "p_partkey", size, "p_type"),
+        F.lit("<div class='margin-top-5'><h2>Facility and Amenity Information</h2>"),
+        F.when(size % 2 == 0, F.format_string("<p>Restroom: %s</p>", "p_type")).otherwise(F.format_string("<p>Drinking WATER at %s</p>", "p_name")),
+        F.lit("</div><div class='opportunities margin-top-5'><a class='opportunity__item'>Hiking</a>"),
+        F.when(size % 7 == 0, "<a class='opportunity__item'>Lake <b>fishing</b></a>").otherwise(""),
+        F.lit("</div><div class='rec-intro'><div class='field field--name-field-rec-description'>"), described, F.lit("</div></div>"),
+        F.when(general.isNotNull(), F.concat(F.lit("<div class='field--name-field-rec-general-info'>"), general, F.lit("</div>"))).otherwise(""),
+    )
+    details = p.select(F.format_string("http://site/%d", "p_partkey").alias("site_url"), html.alias("html"))
+    return pages.extract_details(details, "site_url")
+
+
+@query(
+    f"select {_WOODS} as slug, (row_number() over (partition by p_brand order by p_name, p_partkey) - 1)::varchar as _c0, p_name as site_name, p_partkey::varchar as latitude, 'a, \"' || p_type || '\"' as directions from part"
+)
+def collect_csv(spark, root):
+    """The scraped table as a numbered file for each park, written in one job and read again."""
+    p = tables.read(spark, root, "part")
+    rows = p.select(F.concat(F.lit("woods/"), "p_brand").alias("slug"), F.col("p_name").alias("site_name"), F.col("p_partkey").alias("latitude"), F.concat(F.lit('a, "'), "p_type", F.lit('"')).alias("directions"))
+    return changes.write_csvs(rows, new_path(spark, "csv"), "slug", ["site_name", "latitude"])
+
+
+@query(
+    "with s as (select p_partkey as site_id, p_retailprice % 90 as lat, p_size * (-2.5)::double as lon, date '2024-01-01' + (p_size % 20)::int as first, date '2024-01-01' + (p_size % 20 + p_partkey % 6 - 1)::int as last from part), "
+    "e as (select user_id as id, ts::date as day, arg_max(props, (ts, event_id)) as forecast from events group by 1, 2) "
+    "select site_id, lat, lon, count(e.id)::int as n, coalesce(string_agg(forecast, ';' order by day), '') as forecast from s left join e on s.site_id = e.id and e.day between s.first and s.last group by 1, 2, 3"
+)
+def weather_route(spark, root):
+    """The envelopes of the weather route, for every site at once: up to five days, some none."""
+    p = tables.read(spark, root, "part")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    start = F.col("p_size") % 20
+    spans = p.select(F.col("p_partkey").alias("site_id"), (F.col("p_retailprice") % 90).alias("lat"), (F.col("p_size") * F.lit(-2.5)).alias("lon"), day(start).alias("first"), day(start + F.col("p_partkey") % 6 - 1).alias("last"))
+    e = tables.read(spark, root, "events").groupBy(F.col("user_id").alias("id"), F.to_date("ts").alias("day")).agg(F.max_by("props", F.struct("ts", "event_id")).alias("forecast"))
+    rows = requests.forecast_ranges(spans, e)
+    return rows.select("site_id", "lat", "lon", F.size("forecast").alias("n"), F.array_join("forecast", ";").alias("forecast"))
+
+
 @query("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value, arg_max(props, (ts, event_id)) as props from events group by 1")
 def stream_latest(spark, root):
     return latest.stream_latest(spark, root)

@@ -78,7 +78,16 @@ def weather_range(sites: DataFrame, recorded: DataFrame, site_id: int | None, st
         raise LookupError("Campsite not found")
     first = request_day(start, today)
     last = request_day(end, None) or first
-    wanted = site.select(F.col("id").alias("site_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.explode_outer(dates.days(F.lit(first), F.lit(last))).alias("day"))
+    spans = site.select(F.col("id").alias("site_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.lit(first).alias("first"), F.lit(last).alias("last"))
+    return forecast_ranges(spans, recorded)
+
+
+def forecast_ranges(spans: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``site_id, lat, lon, forecast`` for each of ``spans`` (site_id, lat, lon, first, last): the recorded forecasts of its days in order.
+
+    ``recorded``: id, day, forecast. A day without one is left out; a span that ends before it begins has no day, and an empty list.
+    """
+    wanted = spans.select("site_id", "lat", "lon", F.explode_outer(dates.days(F.col("first"), F.col("last"))).alias("day"))
     rows = wanted.join(recorded.select(F.col("id").alias("site_id"), "day", "forecast"), ["site_id", "day"], "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("forecast").isNotNull(), F.struct("day", "forecast"))))
     return rows.groupBy("site_id", "lat", "lon").agg(F.transform(ordered, lambda x: x["forecast"]).alias("forecast"))
