@@ -201,6 +201,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         packer.settle()
         if packer.done:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *([F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if stored_order else []))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
