@@ -76,3 +76,15 @@ def test_hash_is_low_frequency():
     assert (a != b).sum() <= 4 < (a != c).sum() and a[0] == 0
     mean = np.arange(6.0).reshape(3, 2)
     assert np.isclose(m._cells(mean).mean(), mean.mean()) and m._cells(mean).shape == (32, 32)
+
+
+def test_odd_rows_of_the_columns(spark):
+    """Null ids, names of the operator's own columns, repeated rows and a long text."""
+    long = "long text " * 300_000
+    rows = [(None, "x", "p", 1, None), (None, "y", "p", 1, None), (5, long, "p", 2, "f"), (5, long, "p", 2, "f"), (6, "x", None, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, payload_sha256 string, n_bytes int, feature string")
+    got = m.media_features(m.store_media(m.to_media(docs))).collect()
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 2
+    by = {(r.doc_id, r.n_bytes): r for r in got}
+    assert by[5, len(long)].payload_bytes == -(-len(long) // 64) * 64 and by[6, 1].feature == by[None, 1].feature or by[6, 1].n_bytes == 1
+    assert len({r.media_sha256 for r in got if r.doc_id == 5}) == 1 and len({r.media_sha256 for r in got}) == 3

@@ -107,3 +107,17 @@ def test_toxicity_rows(spark):
     assert toxic_crf.score_toxicity(docs, toxic_crf.fit_toxicity(docs, labels.where("toxic = 0"), F.lit(True))).where("toxic_score > 0").count() == 0
     assert toxic_crf.fit_toxicity(docs.limit(0), labels, F.lit(True)).curve is None
     assert toxic_crf.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Whole texts decide, whatever their length: what only the last words say is found."""
+    clean, toxic = [f"pleasant words number {k} about rivers" for k in range(60)], [f"pleasant vileword{k % 3} badmouth number {k}" for k in range(30)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(clean + toxic)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k >= 60)) for k in range(90)], "doc_id long, toxic int")
+    model = toxic_crf.fit_toxicity(docs, labels, F.lit(True))
+    long = spark.createDataFrame([(1, "about rivers " * 200_000), (2, "about rivers " * 200_000 + "vileword1 badmouth")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxic_crf.score_toxicity(long, model).collect()}
+    assert got[1].toxic_pred == 0 and got[2].toxic_pred == 1
+    langs = spark.createDataFrame([(k, t, lang) for lang, t in (("en", "the of and to in that it is was for "), ("de", "der die und das nicht ist ein zu von mit ")) for k in range(30)], "doc_id long, text string, lang string")
+    told = compress_lang.classify(spark.createDataFrame([(1, "der die und das nicht ist " * 100_000), (2, "the of and to in that " * 100_000)], "doc_id long, text string"), compress_lang.fit_languages(langs, F.lit(True)))
+    assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "de", 2: "en"}

@@ -24,6 +24,15 @@ def test_pairs(spark):
     assert preferences.format_pairs(df.limit(0), F.col("conv_id"), F.lit(False)).count() == 0
 
 
+def test_long_turns(spark):
+    long = "x" * 3_000_000
+    rows = [(0, 0, "user", long), (0, 1, "assistant", long), (1, 0, "user", long), (1, 1, "assistant", "y" + long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = preferences.format_pairs(df, F.call_function("shiftright", F.col("conv_id"), F.lit(1)), F.col("conv_id") % 2 == 1).first()
+    assert got.n_shared == 1 and got.prompt == render([("user", long)]) and got.chosen == render([("assistant", long)])
+    assert [(s.start, s.end) for s in got.rejected_spans] == [(14, 14 + len(long) + 1 + 8)]
+
+
 def test_pipeline_stages(spark):
     root = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{root}/documents.parquet")

@@ -9,7 +9,8 @@ The hash: the image is averaged to 32 x 32 cells, its two-dimensional cosine tra
 the 64 lowest frequencies but the constant one gives a bit: above the median or not.
 
 Rows: a null payload counts as empty; an empty one becomes one row of zeros; equal payloads give equal images
-and hashes; repeated rows stay; an empty table gives no rows.
+and hashes; repeated rows stay; a null ``doc_id`` is carried; other columns, whatever their names, are not looked
+at; a very long text is one image, many rows high; an empty table gives no rows.
 """
 
 from __future__ import annotations

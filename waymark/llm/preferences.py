@@ -7,7 +7,7 @@ assistant's turns. Headers, other roles and the prompt are masked.
 Rows: turns are ordered by number, then role, then text, so repeated turns have an order; a repeated turn is
 rendered each time; null roles and texts count as empty ones; a pair of which one side is missing has no
 prompt and an empty completion on that side; turns without a conversation id belong to no pair; an empty table
-gives no pairs; other columns are not looked at. A conversation is one record, so its turns meet in one row.
+gives no pairs; other columns are not looked at. A conversation is one record, so its turns, very long ones too, meet in one row.
 """
 
 from __future__ import annotations
