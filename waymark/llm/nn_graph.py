@@ -13,7 +13,8 @@ distance with a minus, summed in double precision: it tells near copies apart wh
 
 Recall: a fixed sample of the queries is also measured against all vectors, block by block. While the search finds
 less than ``RECALL`` of the sample's true neighbours, its beam is doubled, and the lists too once the beam is
-32 times as long. The sample sets these two lengths only; all queries are searched in the same way.
+32 times as long. The sample sets these two lengths only; all queries are searched in the same way, and a longer beam
+goes on from where the shorter one ended.
 
 Search: a beam of the ``beam`` best nodes seen so far; each round expands those not expanded yet by a join with
 the graph, until none is left. All nodes seen are measured on the original vectors in double precision.
@@ -117,6 +118,8 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[t
         yield done, where
 
 
+#: Edges that lead back from a node in the search: so many, or twice the lists' length.
+BACK = 40
 EDGES = "node long, other long, near float, fresh boolean"
 
 
@@ -165,7 +168,7 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each node."""
     best = Window.partitionBy("node").orderBy(F.desc("near"), "other")
     once = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.bool_and("fresh").alias("fresh"))
-    return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
 
 
 def _shrink(nodes: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def _shrink(nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None = None) -> DataFrame:
-    """``node, other, near, fresh``: about the k nearest others of each node. ``nodes``: a written table; ``start``: a graph of shorter lists."""
+    """``node, other, near, fresh, r`` (place in the list): about the k nearest others of each node. ``nodes``: a written table; ``start``: a graph of shorter lists."""
     small = write_table(_shrink(nodes), "small")
     n = small.count()
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
@@ -198,18 +201,19 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None =
     blocks = planted.join(full, ["p", "code"]).withColumn("g", F.xxhash64("p", "code", F.pmod(F.xxhash64("node", "p"), F.col("parts"))))
     found = _introduce(blocks.withColumns({"floor": F.lit(NOTHING).cast("float"), "fresh": F.lit(True)}), k)
     if start is not None:
-        found = found.unionByName(start.withColumn("fresh", F.lit(True)))
+        found = found.unionByName(start.drop("r").withColumn("fresh", F.lit(True)))
     graph = write_table(_nearest(found, k), "graph")
     while True:
         back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"))
         reverse = graph.withColumn("r", F.row_number().over(back)).where(F.col("r") <= max(REVERSE, k)).select(F.col("other").alias("g"), "node", "fresh")
         around = graph.select(F.col("node").alias("g"), F.col("other").alias("node"), "fresh").unionAll(reverse).unionAll(small.select(F.col("node").alias("g"), "node", F.lit(False)))
-        around = write_table(around.groupBy("g", "node").agg(F.bool_or("fresh").alias("fresh")), "around")
-        around = around.join(around.where("fresh").select("g").distinct(), "g", "left_semi")
+        # One row a node with its neighbours, both kinds bounded; nodes without a new edge send for no vectors.
+        met = around.groupBy("g", "node").agg(F.bool_or("fresh").alias("fresh")).groupBy("g").agg(F.collect_list(F.struct("node", "fresh")).alias("met"))
+        around = met.where(F.exists("met", lambda x: x["fresh"])).select("g", F.inline("met"))
         floors = graph.groupBy("node").agg(F.min("near").alias("least"), F.count("*").alias("full"))
         known = small.select("node", "small").join(floors, "node", "left").select("node", "small", F.when(F.col("full") >= k, F.col("least")).otherwise(F.lit(NOTHING)).cast("float").alias("floor"))
         found = _introduce(around.join(known, "node"), k)
-        graph = write_table(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), k), "graph")
+        graph = write_table(_nearest(graph.drop("r").withColumn("fresh", F.lit(False)).unionByName(found), k), "graph")
         changed = graph.where("fresh").count()
         if changed <= SETTLED * k * n:
             return graph
@@ -224,7 +228,11 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
     beam = max(beam, k)
     queries = write_table(queries.select("query", "vector", "start"), "queries")
     vectors = nodes.select("node", "vector")
-    around = write_table(graph.select("node", "other").unionAll(graph.select("other", "node")).distinct(), "around")
+    # Edges are walked both ways; of those that lead back from a hub the nearest ones.
+    lists = graph.agg(F.max("r")).first()[0] or 0
+    inward = Window.partitionBy("other").orderBy(F.desc("near"), "node")
+    back = graph.withColumn("b", F.row_number().over(inward)).where(F.col("b") <= max(BACK, 2 * lists)).select(F.col("other").alias("node"), F.col("node").alias("other"))
+    around = write_table(graph.select("node", "other").unionAll(back).distinct(), "around")
     starts = queries.where("start is not null").select("query", F.col("start").alias("node"))
     entries = vectors.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)  # a fixed number of rows
     lost = queries.where("start is null").select("query").crossJoin(F.broadcast(entries))
@@ -242,24 +250,25 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
 
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "node")
 
+    frontier = (F.col("r") <= beam) & F.col("open")
+
     def ahead(seen: DataFrame) -> DataFrame:
-        frontier = seen.where((F.col("r") <= beam) & F.col("open"))
-        near = frontier.select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
-        return write_table(near.join(seen.select("query", "node"), ["query", "node"], "left_anti"), "fresh")
+        near = seen.where(frontier).select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
+        return near.join(seen.select("query", "node"), ["query", "node"], "left_anti")
 
     if seen is not None:
-        fresh = ahead(seen)
-        if fresh.isEmpty():
+        if seen.where(frontier).isEmpty():
             return seen
+        fresh = ahead(seen)
     while True:
         with_vectors = fresh.join(vectors, "node").select("query", "node", "vector").unionAll(queries.select("query", F.lit(None).cast("long").alias("node"), "vector"))
         measured = with_vectors.repartition("query").sortWithinPartitions("query").mapInArrow(measure, "query long, node long, score double")
         new = measured.withColumn("open", F.lit(True))
         rows = new if seen is None else seen.withColumn("open", F.col("open") & (F.col("r") > beam)).drop("r").unionAll(new)
         seen = write_table(rows.withColumn("r", F.row_number().over(best)), "seen")
-        fresh = ahead(seen)
-        if fresh.isEmpty():
+        if seen.where(frontier).isEmpty():
             return seen
+        fresh = ahead(seen)
 
 
 def _true_scores(nodes: DataFrame, sample: list, k: int) -> dict[int, tuple[float, int]]:
@@ -283,23 +292,25 @@ def _true_scores(nodes: DataFrame, sample: list, k: int) -> dict[int, tuple[floa
     return {r["query"]: (r["least"], r["n"]) for r in least.collect()}  # one row for each query of the sample
 
 
-def fitting_search(nodes: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """A graph and a beam with which the sample's recall is ``RECALL``."""
+def fitting_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``search`` of all queries, on a graph and with a beam with which the sample's recall is ``RECALL``.
+
+    A longer beam goes on from what a shorter one has seen, so trying costs no search twice; longer lists begin anew.
+    """
     n, lists, beam = nodes.count(), NEIGHBOURS, max(BEAM, k)
     graph = build_graph(nodes, lists)
     sample = queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE).collect()
     true = _true_scores(nodes, sample, k) if sample else {}
     places = sum(m for _, m in true.values())
     if not places:
-        return graph, beam
-    asked = nodes.sparkSession.createDataFrame(sample, queries.schema)
+        return search(nodes, graph, queries, k, beam)
     least = nodes.sparkSession.createDataFrame([(q, s) for q, (s, _) in true.items()], "query long, least double")
     seen = None
     while True:
-        seen = search(nodes, graph, asked, k, beam, seen)
+        seen = search(nodes, graph, queries, k, beam, seen)
         hits = seen.where("node != query").join(F.broadcast(least), "query").where(F.col("score") >= F.col("least") - 1e-12).groupBy("query").agg(F.least(F.count("*"), F.lit(k)).alias("n")).agg(F.sum("n")).first()[0] or 0
         if hits >= RECALL * places or (lists >= n and beam >= n):
-            return graph, beam
+            return seen
         if beam >= 32 * lists:
             lists, seen = 2 * lists, None
             graph = build_graph(nodes, lists, graph)
@@ -315,8 +326,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     asking = _usable(vectors.where(is_query(F.col(id_col).cast("long"))), id_col, vector_col).withColumn("direction", _direction(F.col("vector")))
     members = write_table(asking.join(nodes.select("node", "direction"), "direction").groupBy("id").agg(F.min_by("node", "vector").alias("node")), "members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vector", F.col("node").alias("start"))
-    graph, beam = fitting_search(nodes, asked, k)
-    found = search(nodes, graph, asked, k, beam)
+    found = fitting_search(nodes, asked, k)
     every = found.join(nodes.select("node", F.explode("ids").alias("vec_id")), "node").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "vec_id")
     lists = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
