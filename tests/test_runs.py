@@ -162,3 +162,46 @@ def test_expiry_of_many_batches_is_that_of_one(spark, tmp_path):
             if (b[1] if b else rows[-1][1] - 30) - a[1] > 60:
                 want.append((s, a[2], a[1], 3600))
     assert one == many == sorted(want)
+
+
+def test_windows_over_batches_are_those_of_a_table(spark, tmp_path):
+    """Rows out of order within the watermark count; a later one is dropped and counted."""
+    from waymark.streaming import windows
+
+    schema = "site long, ts timestamp, v long"
+    batches = [[(1, 5, 1), (1, 65, 2), (2, 10, 3), (None, 1, 9)], [(1, 50, 4), (2, 200, 5)], [(1, 20, 6), (2, 190, 7)], [(3, 900, 8)]]
+    dropped = {"sliding": 0, "sessions": 0}
+    for rows in batches:
+        spark.createDataFrame([(s, T0 + dt.timedelta(minutes=m), v) for s, m, v in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for kind, rule in (("sliding", lambda d: windows.sliding(d, "site", "ts", "60 minutes", "30 minutes", "30 minutes", [F.sum("v").alias("v")])), ("sessions", lambda d: windows.sessions(d, "site", "ts", "30 minutes", "30 minutes", [F.sum("v").alias("v")]))):
+            run = windows.write_windows(rule(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/{kind}")
+            run.awaitTermination()
+            dropped[kind] += windows.late_rows(run)
+    kept = [(s, m, v) for rows in batches[:3] for s, m, v in rows if s is not None and (s, m) != (1, 20)]
+    minutes = lambda t: round((t - T0).total_seconds() / 60)
+    told = lambda kind: sorted((r.site, minutes(r.start), minutes(r.end), r.v) for r in spark.read.parquet(f"{tmp_path}/{kind}/data").collect())
+    want: dict = {}
+    for s, m, v in kept:
+        for start in (m // 30 * 30, m // 30 * 30 - 30):
+            want[s, start, start + 60] = want.get((s, start, start + 60), 0) + v
+    assert told("sliding") == sorted((*k, v) for k, v in want.items()) and dropped["sliding"] >= 1
+    assert told("sessions") == [(1, 5, 35, 1), (1, 50, 95, 6), (2, 10, 40, 3), (2, 190, 230, 12)] and dropped["sessions"] == 1
+
+
+def test_sketches(spark):
+    from waymark.operators import sketches
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    rnd = random.Random(1)
+    rows = [(day(rnd.randrange(20)), rnd.randrange(3000)) for _ in range(20_000)] + [(day(3), None), (None, 5)]
+    df = spark.createDataFrame(rows, "d date, site long")
+    stored = sketches.daily(df, F.col("d"), F.col("site"))
+    ranges = [("a", day(0), day(19)), ("b", day(4), day(4)), ("c", day(3), day(9)), ("d", day(50), day(60)), ("e", day(9), day(3)), ("f", day(15), day(30))]
+    got = {r.k: (r.n, r.ids) for r in sketches.over_ranges(stored, spark.createDataFrame(ranges, "k string, first date, last date")).collect()}
+    for k, a, b in ranges:
+        inside = [s for d, s in rows if d is not None and a <= d <= b]
+        exact = len({s for s in inside if s is not None})
+        assert got[k][0] == len(inside) and abs(got[k][1] - exact) <= 0.05 * exact
+    again = sketches.daily(df.where(F.col("d") == day(4)).limit(7), F.col("d"), F.col("site"))
+    assert {r.day: r.n for r in sketches.replace_days(stored, again).collect()}[day(4)] == 7
+    assert sketches.daily(df.limit(0), F.col("d"), F.col("site")).count() == 0

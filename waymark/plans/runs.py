@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators import changes, sketches
 from waymark.plans.registry import query
 from waymark.sources import recorded, tables
 from waymark.sources.shared import new_path
-from waymark.streaming import latest, stale
+from waymark.streaming import latest, stale, windows
 
 
 def _responses(spark: SparkSession, root: str) -> DataFrame:
@@ -57,3 +58,50 @@ def stale_forecasts(spark, root):
     stale.write_stale(stale.stale_reports(events, "user_id", "ts", "event_id", 21_600), target).awaitTermination()
     local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return stale.read_stale(spark, target).select("user_id", "event_id", local("ts"), local("stale_at"))
+
+
+def _stream_of_events(spark: SparkSession, root: str) -> DataFrame:
+    schema = tables.read(spark, root, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+
+
+def _told(spark: SparkSession, told: DataFrame, label: str) -> DataFrame:
+    target = new_path(spark, label)
+    windows.write_windows(told, target).awaitTermination()
+    rows = spark.read.parquet(f"{target}/data")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(
+    "with e as (select user_id, value, ts, unnest(range(0, 6)) as i from events), w as (select user_id, date_trunc('hour', ts) - to_hours(i::int) as start, value from e) "
+    "select user_id, start, start + interval 6 hour as \"end\", count(*) as n, max(value) as top from w where start + interval 6 hour <= (select max(ts) - interval 10 minute from events) group by 1, 2"
+)
+def sliding_windows(spark, root):
+    """Six hours every hour for each site, those that are closed at the end of the stream."""
+    rows = windows.sliding(_stream_of_events(spark, root), "user_id", "ts", "6 hours", "1 hour", "10 minutes", [F.count("*").alias("n"), F.max("value").alias("top")])
+    return _told(spark, rows, "sliding")
+
+
+@query(
+    "with e as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 4 hour then 1 else 0 end as cut from events), "
+    "s as (select user_id, ts, sum(cut) over (partition by user_id order by ts) as session from e) "
+    "select user_id, min(ts) as start, max(ts) + interval 4 hour as \"end\", count(*) as n from s group by user_id, session having max(ts) + interval 4 hour <= (select max(ts) - interval 10 minute from events)"
+)
+def session_windows(spark, root):
+    """Visits to each site: runs of reports less than four hours apart."""
+    return _told(spark, windows.sessions(_stream_of_events(spark, root), "user_id", "ts", "4 hours", "10 minutes", [F.count("*").alias("n")]), "sessions")
+
+
+@query(
+    "with d as (select distinct ts::date as last from events) select last, count(*) as n, count(distinct user_id) as exact, true as near from d join events on ts::date between last - 6 and last group by 1"
+)
+def weekly_sites(spark, root):
+    """Sites with a report in the week up to each day, from stored daily sketches: the estimate is within 5 % of the exact number."""
+    e = tables.read(spark, root, "events").withColumn("day", F.to_date("ts"))
+    path = new_path(spark, "sketches")
+    changes.write_version(sketches.daily(e, F.col("day"), F.col("user_id")), path)
+    stored = changes.read_version(spark, path)
+    weeks = stored.select(F.date_sub("day", 6).alias("first"), F.col("day").alias("last"))
+    told = sketches.over_ranges(stored, weeks)
+    week = e.select("user_id", F.explode(F.sequence("day", F.date_add("day", 6))).alias("last")).groupBy("last").agg(F.countDistinct("user_id").alias("exact"))
+    return told.join(week, "last").select("last", "n", "exact", (F.abs(F.col("ids") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
