@@ -129,3 +129,19 @@ def test_csv_of_all_parks(spark, tmp_path):
 
     with pytest.raises(ValueError):
         changes.write_csvs(rows.unionAll(spark.createDataFrame([(None, "n", "v")], rows.schema)), str(tmp_path / "d"), "slug", ["name"])
+
+
+def test_page_function_in_sql(spark):
+    import pytest
+
+    from waymark.sources import page_function
+
+    page_function.register(spark)
+    df = spark.createDataFrame([("k1", 5, DETAIL), ("k2", 6, LISTING), ("k2", 6, LISTING), (None, 7, None)], "key string, n int, body string")
+    out = spark.sql("SELECT * FROM page_links(TABLE(SELECT * FROM {p}) PARTITION BY (key), 'body')", p=df)
+    assert out.columns == ["key", "n", "pos", "href", "label"] and dict(out.dtypes)["n"] == "int"
+    assert sorted((r.key, r.n, r.pos, r.href, r.label) for r in out.collect()) == sorted(2 * [("k2", 6, 0, "/a", "A site"), ("k2", 6, 1, "?2", "next")])
+    with pytest.raises(Exception, match="HTML column"):
+        spark.sql("SELECT * FROM page_links(TABLE(SELECT * FROM {p}) PARTITION BY (key), 'none')", p=df)
+    with pytest.raises(Exception, match="columns of the result"):
+        spark.sql("SELECT * FROM page_links(TABLE(SELECT *, 1 AS pos FROM {p}) PARTITION BY (key), 'body')", p=df)

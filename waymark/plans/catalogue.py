@@ -10,7 +10,7 @@ from waymark.operators import changes, mapview, resolve, search
 from waymark.plans import joins, requests, runs  # noqa: F401  some register their queries
 from waymark.plans import oracle as o
 from waymark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from waymark.sources import pages, tables
+from waymark.sources import page_function, pages, tables
 from waymark.sources.shared import new_path
 from waymark.streaming import latest
 
@@ -427,14 +427,14 @@ def media_explode(spark, root):
     return resolve.images_of(rows.select("site_id", F.struct("MEDIA").alias("facility")))
 
 
-_SEED_ROWS = " union all ".join(f"select '{s}' as slug" for part in pages.SEEDS for s in part)
+_LISTS = ("/en/", "/fr/", "/e")
 
 
-@query(f"with s as ({_SEED_ROWS}) select slug, string_split(slug, '/')[-1] as name from s")
+@query(" union all ".join(f"select url as slug, string_split(regexp_replace(url, '/+$', ''), '/')[-1] as name from pages where contains(url, '{part}')" for part in _LISTS))
 def seed_union(spark, root):
-    parts = [spark.createDataFrame([(s,) for s in part], "slug string") for part in pages.SEEDS]
-    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return rows.select("slug", text.url_tail(F.col("slug")).alias("name"))
+    """Three lists of pages to fetch, one after the other: what is on two of them stays twice."""
+    p = tables.read(spark, root, "pages")
+    return pages.seed_rows(*[p.where(F.contains("url", F.lit(part))).select(F.col("url").alias("slug")) for part in _LISTS])
 
 
 @query(
@@ -501,6 +501,14 @@ def page_links(spark, root):
     return pages.extract_links(tables.read(spark, root, "pages"))
 
 
+@query(f"with {_LINKS} select * from links where label like '%a%'")
+def page_links_sql(spark, root):
+    """The links with an a in their label, asked for in SQL text by the registered table function."""
+    page_function.register(spark)
+    asked = "SELECT page_id, pos, href, label FROM page_links(TABLE(SELECT page_id, html FROM {p}) PARTITION BY (page_id), 'html') WHERE label LIKE '%a%'"
+    return spark.sql(asked, p=tables.read(spark, root, "pages"))
+
+
 @query(
     f"with {_LINKS} select p.page_id, coalesce(bool_or(regexp_matches(lower(label), '(water)|(swimming)|(boating)|(lake)')), false) as body_of_water, arg_max(label, pos) as last, "
     "arg_min(label, pos) as first, coalesce(string_agg('- ' || label || chr(10), '' order by pos), '') as bullets from pages p left join links l on p.page_id = l.page_id group by 1"
