@@ -147,11 +147,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-#: ``mix`` writes slices of about so many words, and at most so many slices.
+#: ``mix`` writes slices of about so many words, and at most so many slices (parameters; beyond that slices get larger).
 SLICE_WORDS, MOST_SLICES = 2_000_000, 100_000
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", slice_words: int | None = None, most_slices: int | None = None) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, one row of a whole text for each read, range-sorted by training position.
 
     The sizes of buckets, a small table, are written first; slices of equal length in time follow from their total.
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
     sized = _sized(docs, text_col, id_col, source_col)
     buckets = write_table(_bucket_sizes(sized), "buckets")
     total = buckets.agg(F.sum("bucket_size")).first()[0] or 0
-    slices = min(MOST_SLICES, max(1, -(-total // SLICE_WORDS)))
+    slices = min(most_slices or MOST_SLICES, max(1, -(-total // (slice_words or SLICE_WORDS))))
     rows = _planned(sized, buckets, weights, schedules, max_repeats)
     rows = rows.withColumn(f"{P}read", F.explode(F.filter(f"{P}reads", lambda r: 2 * r["taken"] >= F.col(f"{P}size"))))
     rows = rows.withColumn(f"{P}position", F.col(f"{P}read")["position"])

@@ -22,7 +22,8 @@ Cosines equal to 14 digits are ties, of which the smallest id comes first.
 
 Rows: vectors that are null, zero, of another length than most or hold a null or a non-finite component take no
 part, neither as query nor as candidate; so do null ids. All usable rows that repeat an id are candidates of
-other queries, which list the id once, by its nearest row; as a query the first of them in vector order stands for the id. Fewer candidates than k give shorter lists; an empty table gives none; other columns are not looked at.
+other queries, which list the id once, by its nearest row; as a query the first of them in vector order stands for the id, and no row of its own id is a neighbour of a query (a
+reading of "every row but its own" for ids that repeat). Fewer candidates than k give shorter lists; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
