@@ -220,11 +220,12 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, start: DataFrame | None =
             return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, seen: DataFrame | None = None) -> DataFrame:
-    """``query, node, score, open, r``: the nodes that each query has seen, with exact cosines. ``queries``: query, vector, start (a node or null).
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, state: tuple[DataFrame, list[DataFrame]] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """``query, node, score, open, r``: the 2 ``beam`` best nodes that each query has seen, with exact cosines, and written
+    tables of all that it has seen, one a round. ``queries``: query, vector, start (a node or null).
 
     A query starts at the graph neighbours of ``start``; without one at ``ENTRIES`` fixed nodes.
-    ``seen``: what a search with a shorter beam on the same graph gave, to go on from.
+    ``state``: what a search with a shorter beam on the same graph gave, to go on from.
     """
     beam = max(beam, k)
     queries = write_table(queries.select("query", "vector", "start"), "queries")
@@ -253,23 +254,39 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
 
     frontier = (F.col("r") <= beam) & F.col("open")
 
-    def ahead(seen: DataFrame) -> DataFrame:
-        near = seen.where(frontier).select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
-        return near.join(seen.select("query", "node"), ["query", "node"], "left_anti")
-
-    if seen is not None:
-        if seen.where(frontier).isEmpty():
-            return seen
-        fresh = ahead(seen)
+    def ranked(rows: DataFrame) -> DataFrame:
+        return write_table(rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * beam), "top")
+
+    def ahead() -> DataFrame:
+        near = top.where(frontier).select("query", "node").join(around, "node").select("query", F.col("other").alias("node")).distinct()
+        return near.join(_all(seen).select("query", "node"), ["query", "node"], "left_anti")
+
+    top, seen = state or (None, [])
+    if top is not None:
+        # What a shorter beam left out is open; some of it may have been expanded, which then finds nothing new.
+        known = top.select("query", "node", F.col("open").alias("was"))
+        top = ranked(_all(seen).join(known, ["query", "node"], "left").select("query", "node", "score", F.coalesce("was", F.lit(True)).alias("open")))
+        if top.where(frontier).isEmpty():
+            return top, seen
+        fresh = ahead()
     while True:
         with_vectors = fresh.join(vectors, "node").select("query", "node", "vector").unionAll(queries.select("query", F.lit(None).cast("long").alias("node"), "vector"))
         measured = with_vectors.repartition("query").sortWithinPartitions("query").mapInArrow(measure, "query long, node long, score double")
-        new = measured.withColumn("open", F.lit(True))
-        rows = new if seen is None else seen.withColumn("open", F.col("open") & (F.col("r") > beam)).drop("r").unionAll(new)
-        seen = write_table(rows.withColumn("r", F.row_number().over(best)), "seen")
-        if seen.where(frontier).isEmpty():
-            return seen
-        fresh = ahead(seen)
+        seen = [*seen, write_table(measured, "seen")]
+        rows = seen[-1].withColumn("open", F.lit(True))
+        if top is not None:
+            rows = top.withColumn("open", F.col("open") & (F.col("r") > beam)).drop("r").unionAll(rows)
+        top = ranked(rows)
+        if top.where(frontier).isEmpty():
+            return top, seen
+        fresh = ahead()
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 def _true_scores(nodes: DataFrame, sample: list, k: int) -> dict[int, tuple[float, int]]:
@@ -304,16 +321,16 @@ def fitting_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     true = _true_scores(nodes, sample, k) if sample else {}
     places = sum(m for _, m in true.values())
     if not places:
-        return search(nodes, graph, queries, k, beam)
+        return search(nodes, graph, queries, k, beam)[0]
     least = nodes.sparkSession.createDataFrame([(q, s) for q, (s, _) in true.items()], "query long, least double")
-    seen = None
+    state = None
     while True:
-        seen = search(nodes, graph, queries, k, beam, seen)
-        hits = seen.where("node != query").join(F.broadcast(least), "query").where(F.col("score") >= F.col("least") - 1e-12).groupBy("query").agg(F.least(F.count("*"), F.lit(k)).alias("n")).agg(F.sum("n")).first()[0] or 0
+        state = search(nodes, graph, queries, k, beam, state)
+        hits = state[0].where("node != query").join(F.broadcast(least), "query").where(F.col("score") >= F.col("least") - 1e-12).groupBy("query").agg(F.least(F.count("*"), F.lit(k)).alias("n")).agg(F.sum("n")).first()[0] or 0
         if hits >= RECALL * places or (lists >= n and beam >= n):
-            return seen
+            return state[0]
         if beam >= 32 * lists:
-            lists, seen = 2 * lists, None
+            lists, state = 2 * lists, None
             graph = build_graph(nodes, lists, graph)
         beam *= 2
 

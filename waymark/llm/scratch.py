@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.sources.shared import new_path
 
 
+#: Spark's setting by which a query removes its shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the files, so a lost executor costs a reread and not a recomputation.
 
-    Files lie under ``<shared folder>/<application id>/``; that folder can go when the application has ended.
+    Files lie under ``<shared folder>/<application id>/``; that folder can go when the application has ended. Shuffle
+    files of the write go with its end, so a job of many rounds holds those of one.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
