@@ -43,7 +43,7 @@ BLOCK = 96
 PLANTINGS = 4
 #: Rounds end when fewer than this share of all list places changed.
 SETTLED = 0.005
-BEAM = 64
+BEAM = 256
 #: The share of true neighbours that the search must find for a fixed sample of queries, and the sample's size.
 RECALL = 0.95
 SAMPLE = 200
