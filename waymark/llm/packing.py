@@ -147,18 +147,19 @@ def _split_order(docs: DataFrame) -> dict[tuple[str, int], int]:
     return {s: k for k, s in enumerate(sorted(map(tuple, splits), key=by_number))}
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, max_open: int = MAX_OPEN, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, max_open: int = MAX_OPEN, text_col: str = "text", id_col: str = "doc_id", stored_order: bool = False, memo_bytes: int = 80 << 20) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and the ids.
 
     ``ids`` (little-endian unsigned 32-bit) is null without ``with_ids``. Every task packs the documents of
     its own input split, so nothing is shuffled and no source, however large, meets in one task.
     ``stored_order``: ``docs`` is a stored table, and sequence ids follow the order of its part files.
     ``max_open`` bounds a task's memory: with fewer open windows more documents are cut at their seams.
+    ``memo_bytes``: what a worker remembers of pre-tokens, twice; less takes more time.
     """
     place = docs.sparkSession.sparkContext.broadcast(_split_order(docs)) if stored_order else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, split = encoder(path), Packer(window, TaskContext.get().partitionId() << 36, max_open), None
+        encode, packer, split = encoder(path, memo_bytes), Packer(window, TaskContext.get().partitionId() << 36, max_open), None
         tail = np.array([end_id], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:

@@ -67,6 +67,6 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordIds:
-    """One encoder for each file in a worker process, kept across its tasks; it remembers 2 x 40 MB of pre-tokens."""
-    return WordIds(path, Memo(40 << 20))
+def encoder(path: str, memo_bytes: int = 80 << 20) -> WordIds:
+    """One encoder for each file in a worker process, kept across its tasks; it remembers twice ``memo_bytes`` of pre-tokens."""
+    return WordIds(path, Memo(memo_bytes))
