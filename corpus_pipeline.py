@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 token ids; sequence ids follow the training order in which the mix is stored."""
     bounded_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), stored_order=packing.is_stored(docs))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), stored_order=packing.is_stored(docs), memo_bytes=40 << 20)  # workers hold what earlier stages left
 
 
 STAGES = [
