@@ -101,3 +101,21 @@ def test_null_ids_are_spread(spark):
 def test_main_path_is_native(spark):
     plan = c.mix(docs_of(spark))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_mix_moves_texts_once_and_keeps_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(c, "SLICE_WORDS", 900)
+    rows = [(3, "one row " * 4, "a")] * 500 + [(k, f"w{k} " * (k % 9), "bc"[k % 2]) for k in range(400)] + [(None, "no id", None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = {}, {}
+    for r in c.plan_mix(docs).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + sum(2 * x.taken >= r.size for x in r.reads)
+    for sent in (500_000, 0):  # segments sent to the tasks, or joined by bucket
+        monkeypatch.setattr(c, "SENT_SEGMENTS", sent)
+        out, got = c.mix(docs), {}
+        moves = out._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        if sent:
+            assert moves == 2  # the segments' broadcast and the texts' shuffle
+        for r in out.collect():
+            got[r.doc_id, len(r.text.split())] = got.get((r.doc_id, len(r.text.split())), 0) + 1
+        assert got == {k: n for k, n in want.items() if n}

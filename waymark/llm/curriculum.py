@@ -101,29 +101,39 @@ def _bucket_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(f"{P}source", f"{P}bucket").agg(F.sum(f"{P}size").alias("bucket_size"))
 
 
-def _planned(rows: DataFrame, buckets: DataFrame, weights, schedules, max_repeats: int) -> DataFrame:
-    """``rows`` of ``_sized`` with the operator's columns: source_size, target, and ``reads`` (taken, position)."""
+def _facts(buckets: DataFrame, weights, max_repeats: int) -> DataFrame:
+    """For each bucket ``b`` of a source ``s``: the words before it, and its source's size, target and class."""
     targets = source_targets(buckets.groupBy(F.col(f"{P}source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats)
     earlier = Window.partitionBy(f"{P}source").orderBy(f"{P}bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(f"{P}source", f"{P}bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias(f"{P}before"))
     same = F.col(f"{P}source").eqNullSafe(F.col("source"))
-    starts = starts.join(targets, same).select(
+    return starts.join(targets, same).select(
         F.col(f"{P}source").alias("s"), F.col(f"{P}bucket").alias("b"), f"{P}before", F.col("source_size").alias(f"{P}source_size"), F.col("target").alias(f"{P}target"), F.col("class").alias(f"{P}class")
     )
-    rows = rows.join(starts, F.col(f"{P}source").eqNullSafe(F.col("s")) & (F.col(f"{P}bucket") == F.col("b"))).drop("s", "b")
+
+
+def _of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    return rows.join(facts, F.col(f"{P}source").eqNullSafe(F.col("s")) & (F.col(f"{P}bucket") == F.col("b"))).drop("s", "b")
+
+
+def _read(start: Column, epoch, schedules) -> Column:
+    """Words taken of a document that begins ``start`` words into its source, and its position, in an epoch."""
+    at = start + epoch * F.col(f"{P}source_size")
+    taken = F.greatest(F.lit(0), F.least(F.col(f"{P}size"), F.floor(F.col(f"{P}target") + 0.5) - at)).cast("long")
+    share = F.coalesce(F.try_divide(at + taken / 2, F.col(f"{P}target")), F.lit(0.0))
+    when = F.lit(None).cast("double")
+    for c, knots in enumerate(schedules):
+        when = F.when(F.col(f"{P}class") % len(schedules) == c, position(share, knots)).otherwise(when)
+    return F.struct(taken.alias("taken"), when.alias("position"))
+
+
+def _planned(rows: DataFrame, buckets: DataFrame, weights, schedules, max_repeats: int) -> DataFrame:
+    """``rows`` of ``_sized`` with the operator's columns: source_size, target, and ``reads`` (taken, position)."""
+    rows = _of_bucket(rows, _facts(buckets, weights, max_repeats))
     within = Window.partitionBy(f"{P}source", f"{P}bucket").orderBy(f"{P}key", f"{P}id", f"{P}size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col(f"{P}before") + F.coalesce(F.sum(f"{P}size").over(within), F.lit(0))
     rows = rows.withColumn(f"{P}start", start)
-    size, goal = F.col(f"{P}size"), F.floor(F.col(f"{P}target") + 0.5)
-    reads = []
-    for epoch in range(max_repeats):
-        at = F.col(f"{P}start") + epoch * F.col(f"{P}source_size")
-        taken = F.greatest(F.lit(0), F.least(size, goal - at)).cast("long")
-        share = F.coalesce(F.try_divide(at + taken / 2, F.col(f"{P}target")), F.lit(0.0))
-        when = F.lit(None).cast("double")
-        for c, knots in enumerate(schedules):
-            when = F.when(F.col(f"{P}class") % len(schedules) == c, position(share, knots)).otherwise(when)
-        reads.append(F.struct(taken.alias("taken"), when.alias("position")))
+    reads = [_read(F.col(f"{P}start"), epoch, schedules) for epoch in range(max_repeats)]
     return rows.withColumn(f"{P}reads", F.filter(F.array(*reads), lambda r: r["taken"] > 0))
 
 
@@ -149,19 +159,60 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats:
 
 #: ``mix`` writes slices of about so many words, and at most so many slices (parameters; beyond that slices get larger).
 SLICE_WORDS, MOST_SLICES = 2_000_000, 100_000
+#: Up to so many segments, of some 200 bytes, are sent to every task; more are joined by bucket, which moves texts once more.
+SENT_SEGMENTS = 500_000
+
+
+def _whole(read: Column) -> Column:
+    """Whether ``mix`` takes the document of a read: at least half of it lies below the target."""
+    return (read["taken"] > 0) & (2 * read["taken"] >= F.col(f"{P}size"))
+
+
+def _segments(sizes: DataFrame, facts: DataFrame, slices: int, schedules, max_repeats: int) -> DataFrame:
+    """For each bucket its facts and ``segments``: (epoch, slice, words before, first and last key and size).
+
+    A segment is what one epoch reads of a bucket in one slice of the time. Rows of one key and size can't be told
+    apart, so all go to the slice of the first. First and last are null where a segment is the whole bucket.
+    """
+    bucket = [f"{P}source", f"{P}bucket"]
+    rows = _of_bucket(sizes.where(F.col(f"{P}size") > 0), facts)
+    place = Window.partitionBy(*bucket).orderBy(f"{P}key", f"{P}size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.col(f"{P}before") + F.coalesce(F.sum(f"{P}size").over(place), F.lit(0)))
+    rows = rows.withColumns({"head": F.min("start").over(Window.partitionBy(*bucket, f"{P}key", f"{P}size")), "n": F.count("*").over(Window.partitionBy(*bucket))})
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
+    at = _read(F.col("head"), F.col("epoch"), schedules)["position"]
+    rows = rows.where(_whole(_read(F.col("start"), F.col("epoch"), schedules))).withColumn("slice", F.least(F.floor(at * slices), F.lit(slices - 1)).cast("int"))
+    mark, whole, carried = F.struct(f"{P}key", f"{P}size"), F.count("*") == F.first("n"), [f"{P}source_size", f"{P}target", f"{P}class"]
+    cut = rows.groupBy(*bucket, *carried, "epoch", "slice").agg(
+        F.min("start").alias("start"), F.when(~whole, F.min(mark)).alias("first"), F.when(~whole, F.max(mark)).alias("last")
+    )
+    parts = F.collect_list(F.struct("epoch", "slice", "start", "first", "last")).alias(f"{P}segments")
+    return cut.groupBy(F.col(f"{P}source").alias("s"), F.col(f"{P}bucket").alias("b"), *carried).agg(parts)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", slice_words: int | None = None, most_slices: int | None = None) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, one row of a whole text for each read, range-sorted by training position.
 
-    The sizes of buckets, a small table, are written first; slices of equal length in time follow from their total.
+    Sizes and keys are written first, without texts; slices of equal length in time follow from their total, and from the
+    rows' places the segments: which keys of a bucket an epoch reads in which slice. So a text goes
+    straight from the scan to the slices of its reads, in one shuffle, and gets its exact position there. Rows that
+    repeat an id and a size follow each other in the slice of the first of them.
     """
-    sized = _sized(docs, text_col, id_col, source_col)
-    buckets = write_table(_bucket_sizes(sized), "buckets")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sizes = write_table(_sized(narrow, "text", "id", "source").select(f"{P}source", f"{P}bucket", f"{P}key", f"{P}size"), "sizes")
+    buckets = write_table(_bucket_sizes(sizes), "buckets")
     total = buckets.agg(F.sum("bucket_size")).first()[0] or 0
     slices = min(most_slices or MOST_SLICES, max(1, -(-total // (slice_words or SLICE_WORDS))))
-    rows = _planned(sized, buckets, weights, schedules, max_repeats)
-    rows = rows.withColumn(f"{P}read", F.explode(F.filter(f"{P}reads", lambda r: 2 * r["taken"] >= F.col(f"{P}size"))))
-    rows = rows.withColumn(f"{P}position", F.col(f"{P}read")["position"])
-    at = F.least(F.floor(F.col(f"{P}position") * slices), F.lit(slices - 1)).cast("int")
-    return rows.repartitionById(slices, at).sortWithinPartitions(f"{P}position", f"{P}id", f"{P}key").select(*docs.columns)
+    segments = write_table(_segments(sizes, _facts(buckets, weights, max_repeats), slices, schedules, max_repeats), "segments")
+    if (segments.agg(F.sum(F.size(f"{P}segments"))).first()[0] or 0) <= SENT_SEGMENTS:
+        segments = F.broadcast(segments)
+    rows = _of_bucket(_sized(docs, text_col, id_col, source_col).where(F.col(f"{P}size") > 0), segments)
+    here = F.struct(f"{P}key", f"{P}size")
+    mine = F.filter(f"{P}segments", lambda s: s["first"].isNull() | ((s["first"] <= here) & (here <= s["last"])))
+    rows = rows.withColumn(f"{P}segment", F.explode(mine)).drop(f"{P}segments")
+    rows = rows.withColumns({f"{P}{name}": F.col(f"{P}segment")[name] for name in ("epoch", "slice", "start")}).drop(f"{P}segment")
+    rows = rows.repartitionById(slices, F.col(f"{P}slice"))
+    place = Window.partitionBy(f"{P}slice", f"{P}source", f"{P}bucket", f"{P}epoch").orderBy(f"{P}key", f"{P}size", text_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(f"{P}at", F.col(f"{P}start") + F.coalesce(F.sum(f"{P}size").over(place), F.lit(0)))
+    rows = rows.withColumn(f"{P}read", _read(F.col(f"{P}at"), F.col(f"{P}epoch"), schedules)).where(_whole(F.col(f"{P}read")))
+    return rows.sortWithinPartitions(F.col(f"{P}read")["position"], f"{P}id", f"{P}key").select(*docs.columns)
