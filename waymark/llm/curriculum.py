@@ -206,7 +206,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
     segments = write_table(_segments(sizes, _facts(buckets, weights, max_repeats), slices, schedules, max_repeats), "segments")
     if (segments.agg(F.sum(F.size(f"{P}segments"))).first()[0] or 0) <= SENT_SEGMENTS:
         segments = F.broadcast(segments)
-    rows = _of_bucket(_sized(docs, text_col, id_col, source_col).where(F.col(f"{P}size") > 0), segments)
+    # Rows of size 0 go too and fall out with the others that aren't taken: a filter here would count words a second time.
+    rows = _of_bucket(_sized(docs, text_col, id_col, source_col), segments)
     here = F.struct(f"{P}key", f"{P}size")
     mine = F.filter(f"{P}segments", lambda s: s["first"].isNull() | ((s["first"] <= here) & (here <= s["last"])))
     rows = rows.withColumn(f"{P}segment", F.explode(mine)).drop(f"{P}segments")
