@@ -63,6 +63,40 @@ def test_distance_equals_all_pairs(spark, reach):
     assert set(got) ^ {k for k, v in d.items() if v <= reach} <= {k for k, v in d.items() if abs(v - reach) < 1e-6}
 
 
+def join_rows(df):
+    """The most rows that a join of the executed query made."""
+    df.collect()
+
+    def walk(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+        children = plan.children()
+        return own + [n for i in range(children.size()) for n in walk(children.apply(i))]
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("list_rows", [1, 7, 1024])
+def test_distance_of_crowded_places(spark, list_rows):
+    p = [(i, 10.0, [20.0, 380.0, -340.0][i % 3]) for i in range(60)] + [(60, 10.1, 20.0), (61, 10.1, 20.0)]
+    q = [(i, 10.05, 20.0) for i in range(50)] + [(50, 10.6, 20.0), (51, 10.0, 20.0)]
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} int, latitude double, longitude double")
+    got = near.within_distance(frame(p, "a"), frame(q, "b"), 60, {"metres": near.F.round(near.F.col("km_apart") * 1000).cast("long")}, list_rows=list_rows)
+    assert got.columns == ["a", "b", "km_apart", "metres"]
+    want = [(i, j, round(1000 * d)) for i, *x in p for j, *y in q if (d := km(x, y)) <= 60]
+    assert len(want) == 62 * 51 + 2 and sorted((r.a, r.b, r.metres) for r in got.collect()) == want
+
+
+def test_distance_is_worked_out_for_places(spark):
+    p = spark.range(300).selectExpr("id as a", "10.0d as latitude", "20.0d as longitude")
+    q = spark.range(400).selectExpr("id as b", "10.0d as latitude", "20.0d as longitude")
+    pairs = near.within_distance(p, q, 60)
+    assert pairs.count() == 300 * 400 and join_rows(pairs) <= 2 * (300 + 400)
+
+
 @pytest.mark.parametrize("cell", [0.3, 5.0, 400.0])
 def test_boxes_equal_all_pairs(spark, cell):
     rnd = random.Random(3)

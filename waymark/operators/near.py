@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Mean radius of the earth in km.
 RADIUS = 6371.0088
+#: Rows of one place that make one list, about; a place with more has more lists.
+LIST_ROWS = 1024
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -23,7 +25,22 @@ def _wrapped(lon: Column) -> Column:
     return F.pmod(lon + 180, F.lit(360.0)) - 180
 
 
-def within_distance(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+def _by_place(df: DataFrame, columns: list[str], name: str, list_rows: int) -> DataFrame:
+    """The rows of each place (``_lat``, ``_lon``) as structs of ``columns`` in lists ``name``.
+
+    Rows of crowded places, which are few for their number of rows and broadcast, are dealt by their hash to as many lists as they need.
+    """
+    crowded = df.groupBy("_lat", "_lon").count().where(F.col("count") > list_rows)
+    parts = crowded.select("_lat", "_lon", F.ceil(F.col("count") / list_rows).alias("_parts"))
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    dealt = df.join(F.broadcast(parts), ["_lat", "_lon"], "left").withColumn("_part", F.pmod(F.xxhash64(*hashed), F.coalesce("_parts", F.lit(1))))
+    # A number of partitions that stays: they are small in bytes, but have all pairs before them.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "_lat", "_lon", "_part")
+    return dealt.groupBy("_lat", "_lon", "_part").agg(F.collect_list(F.struct(*(columns or ["_lat"]))).alias(name)).drop("_part")
+
+
+def within_distance(left: DataFrame, right: DataFrame, km: float, also: dict[str, Column] | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """All pairs of rows at most ``km`` apart, with ``km_apart``. Both tables have ``latitude`` and ``longitude``; other names must differ.
 
     The grid has bands of latitude as high as the distance, and in each band cells that are at least as wide as the distance at
@@ -31,11 +48,16 @@ def within_distance(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     cells that the distance can reach: of its own band and of those above and below, usually three each, all of a band
     around a pole. So a pair meets in exactly one cell, across the date line too. Rows without coordinates, or
     with a latitude beyond the poles, have no pairs.
+
+    Rows of one place go through the cells as one list, or lists of about ``list_rows``: the distance is worked out once for two
+    places, and their pairs of rows are only written out. ``also``: further columns, expressions over ``km_apart``, worked out
+    once in the same way.
     """
     if not 0 < km < RADIUS:
         raise ValueError("the distance must be positive and below the earth's radius")
     reach = math.degrees(km / RADIUS)
-    names = [c for c in [*left.columns, *right.columns] if c not in ("latitude", "longitude")]
+    also = also or {}
+    names = [c for c in [*left.columns, *right.columns, *also] if c not in ("latitude", "longitude")]
     if len(names) != len(set(names)):
         raise ValueError("columns of the two tables clash")
     band_of = lambda lat: F.floor(lat / reach)
@@ -50,21 +72,24 @@ def within_distance(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
         lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
         return df.where((F.abs(lat) <= 90) & (F.abs(lon) <= 1e6)).withColumns({"_lat": lat, "_lon": _wrapped(lon)})
 
-    there = usable(right).withColumn("_band", band_of(F.col("_lat")))
+    own, others = ([c for c in df.columns if c not in ("latitude", "longitude")] for df in (left, right))
+    there = _by_place(usable(right), others, "_right", list_rows).withColumn("_band", band_of(F.col("_lat")))
     there = there.withColumn("_cell", F.floor((F.col("_lon") + 180) / 360 * cells_in(F.col("_band"))))
-    there = there.select("_band", "_cell", F.struct(*right.columns).alias("_right"), F.col("_lat").alias("_rlat"), F.col("_lon").alias("_rlon"))
-    here = usable(left).withColumn("_id", F.struct(*left.columns)).withColumn("_band", F.explode(F.sequence(band_of(F.col("_lat") - reach), band_of(F.col("_lat") + reach))))
+    there = there.select("_band", "_cell", "_right", F.col("_lat").alias("_rlat"), F.col("_lon").alias("_rlon"))
+    here = _by_place(usable(left), own, "_left", list_rows).withColumn("_band", F.explode(F.sequence(band_of(F.col("_lat") - reach), band_of(F.col("_lat") + reach))))
     # Degrees of longitude that the distance spans at the row's latitude; all of them where it reaches over a pole.
     s, c = F.lit(math.sin(math.radians(reach))), F.cos(F.radians("_lat"))
     span = F.when(c > s, F.degrees(F.asin(F.least(s / c, F.lit(1.0)))) + 1e-9).otherwise(F.lit(180.0))
     n = cells_in(F.col("_band"))
     first, last = F.floor((F.col("_lon") - span + 180) / 360 * n), F.floor((F.col("_lon") + span + 180) / 360 * n)
     cells = F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda x: F.pmod(x, n))
-    here = here.withColumn("_cell", F.explode(cells)).select("_band", "_cell", F.col("_id").alias("_left"), "_lat", "_lon")
+    here = here.withColumn("_cell", F.explode(cells)).select("_band", "_cell", "_left", "_lat", "_lon")
     apart = distance_km(F.col("_lat"), F.col("_lon"), F.col("_rlat"), F.col("_rlon"))
-    pairs = here.join(there, ["_band", "_cell"]).withColumn("km_apart", apart).where(F.col("km_apart") <= km)
-    own = [F.col(f"_left.{c}").alias(c) for c in left.columns if c not in ("latitude", "longitude")]
-    return pairs.select(*own, *[F.col(f"_right.{c}").alias(c) for c in right.columns if c not in ("latitude", "longitude")], "km_apart")
+    places = here.join(there, ["_band", "_cell"]).withColumn("km_apart", apart).where(F.col("km_apart") <= km)
+    places = places.withColumns(also) if also else places
+    values = ["km_apart", *also]
+    pairs = places.select(*values, "_right", F.explode("_left").alias("_left")).select(*values, "_left", F.explode("_right").alias("_right"))
+    return pairs.select(*[F.col(f"_left.{c}").alias(c) for c in own], *[F.col(f"_right.{c}").alias(c) for c in others], *values)
 
 
 def inside_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
