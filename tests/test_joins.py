@@ -107,6 +107,24 @@ def test_boxes_equal_all_pairs(spark, cell):
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((p[0], b[0]) for p in points for b in boxes if inside(p, b))
 
 
+def test_totals_in_boxes(spark):
+    rnd = random.Random(4)
+    points = [(i, rnd.choice([1.0, 1.5, -0.0, 0.0, None]), rnd.choice([2.0, 179.9, -180.0, float("nan")])) for i in range(300)]
+    boxes = [(j, *rnd.choice([(0.0, 1.0, 1.2, 3.0), (-0.0, 1.0, 1.2, 3.0), (0.0, 179.0, 2.0, -179.0), (5.0, 1.0, 6.0, 3.0), (None, 1.0, 1.2, 3.0), (1.0, 2.0, 1.0, 2.0)])) for j in range(90)]
+    a, b = spark.createDataFrame(points, "id int, latitude double, longitude double"), spark.createDataFrame(boxes, "j int, bottom double, left double, top double, right double")
+    pairs = near.inside_boxes(a, b, 1.5).groupBy("j").agg(near.F.count("*"), near.F.min("id"))
+    got = near.totals_in_boxes(a, b, 1.5).select("j", "n", "first_id")
+    assert got.count() > 50 and sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    assert got.schema["n"].dataType.simpleString() == "bigint"
+
+
+def test_sites_in_box_makes_no_pairs(spark, tmp_path):
+    spark.range(500).selectExpr("id as p_partkey", "'x' as p_name", "'y' as p_type", "2 as p_size", "900.0d as p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(400).selectExpr("id * 1800 as c_custkey", "1 as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    found = joins.sites_in_box(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1800 * i, 500, 0) for i in range(400)] and join_rows(found) <= 400
+
+
 def test_arguments(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0)], "a int, latitude double, longitude double")
     for wrong in (0, -1, 7000):

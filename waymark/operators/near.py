@@ -107,3 +107,16 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     lon = F.col("longitude")
     east = F.when(l <= r, (lon >= l) & (lon <= r)).otherwise((lon >= l) | (lon <= r))
     return here.join(there, ["_y", "_x"]).where((F.col("latitude") >= F.col("bottom")) & (F.col("latitude") <= F.col("top")) & east).drop("_y", "_x")
+
+
+def totals_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, id_col: str = "id") -> DataFrame:
+    """``boxes`` that hold any of ``points``, with ``n``, the number of points, and ``first_id``, their smallest ``id_col``.
+
+    Points of one place are counted before the join and equal boxes asked once, so no pair of a point and a box is made:
+    the join grows with the number of different places and different boxes.
+    """
+    edges = ["bottom", "left", "top", "right"]
+    spots = points.groupBy("latitude", "longitude").agg(F.count("*").alias("n"), F.min(id_col).alias("first_id"))
+    views = boxes.select(*edges).distinct()
+    found = inside_boxes(spots, views, cell).groupBy(*edges).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+    return boxes.join(found, edges)
