@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from waymark.operators import changes
+from waymark.plans import catalogue
 from waymark.sources import pages, recorded, tables
 from waymark.streaming import latest
 
@@ -58,6 +59,27 @@ def test_collect_sites(spark):
     assert sorted((r.park_url, r.page_no, r.place, r.site_name, r.latitude, r.body_of_water) for r in out.collect()) == [("p", 0, 0, "a", "1.5", True), ("p", 0, 1, "b", None, None), ("p", 1, 0, "c", None, False)]
 
 
+def parsing_tasks(df):
+    """The tasks of each stage of the executed query that takes pages apart."""
+    df.collect()
+
+    def walk(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        own = [plan.execute().getNumPartitions()] if plan.nodeName() == "MapInArrow" else []
+        children = plan.children()
+        return own + [n for i in range(children.size()) for n in walk(children.apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_details_of_one_file_in_many_tasks(spark):
+    assert spark.read.parquet("/root/testdata/sf0.01/part.parquet").rdd.getNumPartitions() == 1
+    assert parsing_tasks(catalogue.QUERIES["collect_details"](spark, "/root/testdata/sf0.01")) == [4]
+
+
 def test_changes(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, v string, n int")
     m = spark.createDataFrame([(1, None, 9)], "id long, v string, n int")

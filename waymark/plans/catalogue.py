@@ -566,7 +566,7 @@ _WOODS = "'woods/' || p_brand"
 )
 def collect_details(spark, root):
     """Every field of detail pages made of the parts: all labels, both blocks, the overview, and the four ways to amenities."""
-    p = tables.read(spark, root, "part")
+    p = tables.spread(tables.read(spark, root, "part"), "p_partkey")
     accordion = lambda words, inner, there: F.when(there, F.format_string(f"<h3><button>{words}</button></h3><div>%s</div>", inner)).otherwise("")
     size, every = F.col("p_size"), F.lit(True)
     described = F.concat(F.format_string("<p>Overview</p><p>Nice %s</p>", "p_name"), F.when(size % 5 == 0, F.format_string("<p>Amenities: %s</p>", "p_type")).otherwise(""))

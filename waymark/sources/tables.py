@@ -36,6 +36,11 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to all shuffle partitions, for small rows with much work before them: files and adaptive plans go by bytes and would make one task of many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # The catalogue seen in the star schema: parts as sites, line items as status reports, events as weather.
 
 
