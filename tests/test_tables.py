@@ -80,6 +80,10 @@ def test_details_of_one_file_in_many_tasks(spark):
     assert parsing_tasks(catalogue.QUERIES["collect_details"](spark, "/root/testdata/sf0.01")) == [4]
 
 
+def test_places_of_one_file_in_many_tasks(spark):
+    assert parsing_tasks(catalogue.QUERIES["collect_sites"](spark, "/root/testdata/sf0.01")) == [4, 4]
+
+
 def test_changes(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, v string, n int")
     m = spark.createDataFrame([(1, None, 9)], "id long, v string, n int")

@@ -537,9 +537,11 @@ def html_extract(spark, root):
 )
 def collect_sites(spark, root):
     """Listing and detail pages made of the parts, taken apart and joined: five places a page, no next link behind size 50, no detail page from size 40 on."""
-    p = tables.read(spark, root, "part").withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    part = tables.read(spark, root, "part")
+    p = part.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    p = tables.spread(p.select(F.col("p_brand").alias("park_url"), F.floor(F.col("r") / 5).cast("int").alias("page_no"), "r", "p_partkey", "p_name", "p_size"), "park_url", "page_no")
     card = F.format_string("<div class='card main-view-item'><a href='/%d'><i>%s</i></a></div>", "p_partkey", "p_name")
-    listings = p.groupBy(F.col("p_brand").alias("park_url"), F.floor(F.col("r") / 5).cast("int").alias("page_no")).agg(
+    listings = p.groupBy("park_url", "page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", card.alias("c")))), lambda x: x["c"]), "").alias("cards"), F.bool_or(F.col("p_size") == 50).alias("last")
     )
     crumbs = F.format_string("<nav class='usa-breadcrumb'><li class='usa-breadcrumb__list-item'>Home<li class='usa-breadcrumb__list-item'>Woods of %s</nav>", "park_url")
@@ -550,7 +552,7 @@ def collect_sites(spark, root):
         "<div class='opportunities margin-top-5'><a class='opportunity__item'>%s</a></div><div class='field--name-field-rec-general-info'><p>Amenities:</p><ul><li>%s</li><li> table </li></ul></div>",
         "p_type", "p_size", F.when(F.col("p_size") % 2 == 0, F.format_string("<p>Take road %d</p>", "p_size")).otherwise(""), F.when(F.col("p_size") % 3 == 0, "Lake fishing").otherwise("Hiking"), "p_name",
     )
-    details = p.where("p_size < 40").select(F.format_string("http://site/%d", "p_partkey").alias("site_url"), body.alias("html"))
+    details = tables.spread(part.where("p_size < 40"), "p_partkey").select(F.format_string("http://site/%d", "p_partkey").alias("site_url"), body.alias("html"))
     rows = pages.collect_sites(listings, details, "http://site")
     return rows.select("site_url", "park_url", "page_no", "place", "park_name", "site_name", "season_of_use", "latitude", "directions", "amenities", "body_of_water")
 
