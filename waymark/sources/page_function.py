@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import IntegerType, Row, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from waymark.sources.pages import Outline
+from waymark.sources.pages import HREF, S0, S1, Outline
 
 
 class PageLinks:
@@ -34,9 +34,9 @@ class PageLinks:
         page = Outline(frozenset(["a"]))
         page.feed(row[html] or "")
         page.close()
-        own, links = tuple(row[c] for c in row.__fields__ if c != html), [e for e in page.elements if e["href"] is not None]
+        own, links = tuple(row[c] for c in row.__fields__ if c != html), [e for e in page.elements if e[HREF] is not None]
         for pos, e in enumerate(links):
-            yield (*own, pos, e["href"], "".join(s.strip() for s in page.strings[e["s0"] : e["s1"]]))
+            yield (*own, pos, e[HREF], "".join(s.strip() for s in page.strings[e[S0] : e[S1]]))
 
 
 def register(spark: SparkSession) -> None:
