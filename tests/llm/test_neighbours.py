@@ -86,6 +86,53 @@ def test_recall_on_many_vectors(spark):
     assert recall(out, ids, x) >= 0.93
 
 
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_vectors_are_not_sent_for_each_pair(spark):
+    """A graph of all nodes sent a vector for each pair that build and search measured: some hundred times the table."""
+    ids, x = np.arange(6000), np.random.default_rng(11).standard_normal((6000, 64))
+    table, before = table_of(spark, ids, x).localCheckpoint(), shuffled(spark)
+    out = nn_graph.nearest_neighbours(table, lambda i: i % 50 == 0)
+    assert recall(out, ids, x) >= 0.93
+    assert shuffled(spark) - before < 15 * x.nbytes
+
+
+def test_many_shards(spark, monkeypatch):
+    """Near copies, repeated vectors and repeated ids whose rows lie in different shards."""
+    monkeypatch.setattr(nn_graph, "LEAST", 150)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    x[1000:2000] = x[:25].repeat(40, 0) + 0.01 * rng.standard_normal((1000, 16))
+    x[2000:2100] = x[0]
+    ids = np.arange(3000)
+    assert nn_graph.shards_for(3000) == 20
+    out = nn_graph.nearest_neighbours(table_of(spark, ids, x), lambda i: i % 10 == 0)
+    assert recall(out, ids, x) >= 0.93
+    got = {}
+    for r in sorted(out.collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 3000, 10)) and got[0] == [2000, 2001, 2002, 2003, 2004] and got[2000] == [0, 2001, 2002, 2003, 2004]
+    names = np.where(ids < 400, 7, ids)  # one id of 400 rows
+    got = {}
+    for r in nn_graph.nearest_neighbours(table_of(spark, names, x), lambda i: i % 500 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {500, 1000, 1500, 2000, 2500} and all(len(found) == 5 for found in got.values())
+
+
+def test_lists_of_a_shard():
+    """Lists are sorted, without repeats or the node itself, and near the true ones."""
+    small = nn_graph._unit(np.random.default_rng(2).standard_normal((1500, 24))).astype(np.float32)
+    lists = nn_graph.descend(small, nn_graph._codes(small), 20)
+    true = small.astype(float) @ small.T.astype(float)
+    np.fill_diagonal(true, -9)
+    best = np.argsort(-true, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(best, lists.others, strict=True)]) >= 0.9 * 20
+    assert (np.diff(lists.near, axis=1) <= 0).all() and all(len(set(r)) == 20 and i not in r for i, r in enumerate(lists.others.tolist()))
+
+
 def brute(docs, k, share):
     sets = {}
     for i, t in docs:
