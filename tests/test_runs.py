@@ -164,6 +164,42 @@ def test_expiry_of_many_batches_is_that_of_one(spark, tmp_path):
     assert one == many == sorted(want)
 
 
+def test_expiry_of_odd_rows(spark, tmp_path):
+    batches = [
+        [(1, 10, 10), (1, 10, 10), (1, 10, 12), (1, 10, 11), (1, 70, 13), (1, 131, 14), (1, 131, 14)],  # repeated, at one time, exactly and just over an hour apart
+        [(2, 101, 20), (2, 100, 21), (1, 131, 9), (1, 120, 15), (None, None, None)],  # the run before has ended at the watermark 101, so 20 is too late; what comes before a site's last report changes nothing
+        [(3, 400, 30)],
+        [(1, 370, 16), (1, 369, 17), (4, 371, 40)],  # the watermark is at 370
+    ]
+    assert stream_of(spark, tmp_path, batches) == sorted([(1, 13, 70, 3600), (1, 14, 131, 3600)])
+
+
+def test_expiry_sends_numbers_alone(spark, tmp_path):
+    """No timestamp goes to Python, and a site's rows cost one read and one write of its state."""
+    events = spark.readStream.schema("site long, ts timestamp, report long").parquet(str(tmp_path))
+    plan = stale.stale_reports(events, "site", "ts", "report", 3600)._jdf.queryExecution().analyzed()
+    while not plan.nodeName().startswith("TransformWithState"):
+        plan = plan.children().apply(0)
+    sent = plan.children().apply(0).schema()
+    assert {(sent.apply(i).name(), sent.apply(i).dataType().typeName()) for i in range(sent.length())} == {("key", "long"), ("at", "long"), ("report", "long")}
+
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+        def getValueState(self, *a):
+            return self
+
+    p = stale._Expiry(3600_000_000)
+    p.init(Handle())
+    watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 1000})()
+    rows = [(7, 4_000_000_000, 3), (7, 999_999, 1), (7, 1_000_000, 2)]
+    assert [tuple(r) for r in p.handleInputRows((7,), iter(rows), watermark)] == [(7, 1_000_000, 2)]
+    assert calls == ["get", "update", "registerTimer"]
+
+
 def test_windows_over_batches_are_those_of_a_table(spark, tmp_path):
     """Rows out of order within the watermark count; a later one is dropped and counted."""
     from waymark.streaming import windows
