@@ -1,4 +1,5 @@
 import json
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,37 @@ def test_page_shapes(spark):
     assert pages.extract_details(df.limit(0)).count() == 0
 
 
+def outlined(page, html):
+    page.feed(html)
+    page.close()
+    return [[*e[:4], list(e[4]), *e[5:]] for e in page.elements], page.strings
+
+
+def test_plain_runs_of_a_page_are_read_at_once(monkeypatch):
+    """The parser's own reader of start tags, which takes many steps a tag, is asked for odd tags only; what it makes is the same."""
+    taken = []
+    own = HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: taken.append(self.rawdata[i : i + 9]) or own(self, i))
+
+    class Slow(pages.Outline):
+        parse_starttag = HTMLParser.parse_starttag
+
+    assert outlined(pages.Outline(), DETAIL + LISTING)[0] and taken == []
+    odd = [
+        "<!DOCTYPE html><P Class=X>a &amp; b<br/>c</P><p class='x'\t>d<!-- <p> -->e",
+        "<script>if (a<b) '</p>'</script><p>x</p><style>p{}</style><title>a<b></title>",
+        "a < b <p class='it\"s' href=\"?a=1&amp;b\">&lt;c<a href>d</a><a href=''>e</a ></>f</ g>",
+        "<a\xa0href='x'>a</a><p class = 'b'>c<p class='d'id='e'>f<p class='g' class='h  i'>j<x-y>k",
+        "<p class='a>b'>c<p class='not closed",
+        "text &am",
+        "</p><div><p>x</div></p><ul><li>a<li>b</ul>" + "\u3000 \x00<br>",
+        "",
+    ]
+    for html in odd:
+        assert outlined(pages.Outline(), html) == outlined(Slow(), html)
+        assert outlined(pages.Outline(frozenset(["a"])), html) == outlined(Slow(frozenset(["a"])), html)
+
+
 def test_collect_sites(spark):
     page = lambda cards, more: f'<div class="rows__container">{"".join(f"<div class=main-view-item><a href=/{c}>{c}</a></div>" for c in cards)}</div>' + ("<a class='usa-pagination__next-page'>n</a>" if more else "")
     listings = [("p", 0, page("ab", True)), ("p", 1, page("c", False)), ("p", 2, page("d", True)), ("q", 0, page("", True)), ("q", 1, page("e", False)), ("r", 0, None)]
