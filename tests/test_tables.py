@@ -83,6 +83,18 @@ def test_plain_runs_of_a_page_are_read_at_once(monkeypatch):
         assert outlined(pages.Outline(frozenset(["a"])), html) == outlined(Slow(frozenset(["a"])), html)
 
 
+def test_plain_listing_pages_are_read_at_once(monkeypatch):
+    taken = []
+    own = HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: taken.append(i) or own(self, i))
+    cards = "".join(f"<div class='card main-view-item'><a href='/{k}'><i>site {k}</i></a></div>" for k in range(3))
+    page = "<nav class='usa-breadcrumb'><li class='usa-breadcrumb__list-item'>Home<li>Woods</nav><div class='rows__container'>" + cards + "</div><a class='x' href='?a&amp;b'>next</a>"
+    elements, strings = outlined(pages.Outline(), page)
+    assert taken == [page.index("<a class='x'")]  # the one tag with a reference
+    assert strings == ["Home", "Woods", "site 0", "site 1", "site 2", "next"] and [e[5] for e in elements if e[3] == "a"] == ["/0", "/1", "/2", "?a&b"]
+    assert [(e[0], e[1], e[2]) for e in elements[:4]] == [(0, 2, -1), (1, 2, 0), (2, 2, 1), (3, 12, -1)]
+
+
 def test_collect_sites(spark):
     page = lambda cards, more: f'<div class="rows__container">{"".join(f"<div class=main-view-item><a href=/{c}>{c}</a></div>" for c in cards)}</div>' + ("<a class='usa-pagination__next-page'>n</a>" if more else "")
     listings = [("p", 0, page("ab", True)), ("p", 1, page("c", False)), ("p", 2, page("d", True)), ("q", 0, page("", True)), ("q", 1, page("e", False)), ("r", 0, None)]
